@@ -84,11 +84,11 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word with A-Z in lower case; equal words have equal hashes."""
+    def hashes(self, letters: np.ndarray = LOWER) -> np.ndarray:
+        """A 64-bit hash of each word, by default with A-Z in lower case; equal words have equal hashes."""
         up, down = powers(len(self.data))
         total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((LOWER[self.data].astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
+        np.cumsum((letters[self.data].astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
 
     def rows(self) -> np.ndarray:
