@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, simhash, token_counts
+from . import decontaminate, packing, simhash, token_counts
 from .common import table
 
 
@@ -25,12 +25,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op9_token_counts": op9_token_counts}
+    return {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op9_token_counts": op9_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
