@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, simhash, token_counts
+from . import decontaminate, packing, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -33,8 +33,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op9_token_counts": op9_token_counts}
+    return {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op9_token_counts": op9_token_counts, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
