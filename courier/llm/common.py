@@ -35,28 +35,26 @@ def cut_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_columns_after(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
 def ordered_rank(df: DataFrame, order: list, rank: str = "rank") -> tuple[DataFrame, int]:
     """Gapless global positions from 0 in the given order, and the number of rows.
 
-    One range-partitioned sort; no row meets all others in one task. The only table that goes through a single
-    task has a row for each partition of the sort.
+    One range-partitioned sort; no row meets all others in one task. The driver gets a number for each partition.
     """
-    spark = df.sparkSession
     names = df.columns
     placed = cut(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
     part, local = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    base, rows = 0, []
-    for p, n in counts:
-        rows.append((p, base))
-        base += n
-    offsets = spark.createDataFrame(rows, T.StructType([T.StructField("__p", T.IntegerType()), T.StructField("__base", T.LongType())]))
-    out = placed.withColumn("__p", part).join(F.broadcast(offsets), "__p")
-    return out.select(*[F.col(f"`{c}`") for c in names], (F.col("__base") + local).alias(rank)), base
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        starts.append(total)
+        total += counts.get(p, 0)
+    base = F.element_at(numbers(starts), part + 1)
+    return placed.select(*[F.col(f"`{c}`") for c in names], (base + local).alias(rank)), total
+
+
+def numbers(values: list[int]):
+    """An array of long constants, folded from one string: a literal for each of many numbers takes the driver long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, nearest, packing, simhash, token_counts, toxicity
+from . import decontaminate, hilbert, nearest, packing, preference, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -29,11 +29,25 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = preference.swapped_answers(table(spark, sf_dir, "conversations"))
+    pairs = preference.preference_pairs(chosen, rejected)
+    trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return pairs.select(
+        "pair_id", F.col("prefix_turns").cast("long").alias("prefix_turns"), *[F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("prompt", "chosen", "rejected")],
+        trained(F.col("chosen_mask")).alias("chosen_trained"), trained(F.col("rejected_mask")).alias("rejected_trained"),
+    )
+
+
 def op7_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest(vectors.where("vec_id % 50 = 0"), vectors)
 
 
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.place(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,8 +59,48 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_best_fit_packing": op3_best_fit_packing, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op7_block_join": op7_block_join, "op9_token_counts": op9_token_counts, "op10_toxicity": op10_toxicity}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_simhash, op5_decontaminate, op6_preference, op7_block_join, op8_hilbert, op9_token_counts, op10_toxicity)}
+
+
+#: Conversations: as swapped_answers() and preference_pairs(), with window functions.
+OP6_SQL = """
+with plain as (select conv_id as pair_id, coalesce(turn, -4611686018427387904) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+answers as (select pair_id, turn as last_turn, text as answer from (select *, row_number() over (partition by pair_id order by turn desc, text desc) as n from plain where role = 'assistant') where n = 1),
+ends as (select a.pair_id, a.last_turn, b.answer from answers a join answers b on b.pair_id = xor(a.pair_id, 1::bigint)),
+kept as (select p.pair_id, p.turn, p.role, p.text, case when p.turn = e.last_turn and p.role = 'assistant' then e.answer else p.text end as other from plain p join ends e on p.pair_id = e.pair_id where p.turn <= e.last_turn),
+numbered as (select *, row_number() over (partition by pair_id order by turn, role, text) as nc, row_number() over (partition by pair_id order by turn, role, other) as nr from kept),
+aligned as (select c.pair_id, c.nc as n, c.role as crole, c.text as ctext, r.role as rrole, r.other as rtext from numbered c join numbered r on c.pair_id = r.pair_id and c.nc = r.nr),
+prefix as (select *, bool_and(crole = rrole and ctext = rtext) over (partition by pair_id order by n rows unbounded preceding) as same from aligned),
+parts as (select *, '<|' || crole || '|>' || chr(10) || ctext || '<|end|>' || chr(10) as c, '<|' || rrole || '|>' || chr(10) || rtext || '<|end|>' || chr(10) as r from prefix)
+select pair_id, count(*) filter (where same)::bigint as prefix_turns,
+  md5(coalesce(string_agg(c, '' order by n) filter (where same), '')) as prompt_md5,
+  md5(coalesce(string_agg(c, '' order by n) filter (where not same), '')) as chosen_md5,
+  md5(coalesce(string_agg(r, '' order by n) filter (where not same), '')) as rejected_md5,
+  coalesce(sum(length(ctext) + 8) filter (where not same and crole = 'assistant'), 0)::bigint as chosen_trained,
+  coalesce(sum(length(rtext) + 8) filter (where not same and rrole = 'assistant'), 0)::bigint as rejected_trained
+from parts group by pair_id
+"""
+
+OP5_SQL = r"""
+with words as (select doc_id, regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)),
+items as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null),
+windows as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as phrase from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items where len(w) > 0)),
+sizes as (select distinct n from windows),
+spots as (select doc_id, i, s.n, array_to_string(w[i : i + s.n - 1], ' ') as phrase from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words) d, sizes s where i + s.n - 1 <= len(w)),
+found as (select doc_id, i, s.n, item_id from spots s join windows b on s.n = b.n and s.phrase = b.phrase),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from found) group by doc_id),
+owners as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from found group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  (coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w)) as contaminated
+from words w left join hit using (doc_id) left join owners using (doc_id)
+"""
+
+OP7_SQL = """
+with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null),
+pairs as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": OP5_SQL, "op6_preference": OP6_SQL, "op7_block_join": OP7_SQL}
