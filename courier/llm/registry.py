@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hilbert, nearest, packing, preference, simhash, token_counts, toxicity
+from . import decontaminate, hilbert, line_templates, nearest, packing, preference, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_templates.drop_templates(table(spark, sf_dir, "documents"), dropped="n_dropped")
+    kept = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return left.select("doc_id", F.col("n_dropped").cast("long").alias("n_dropped"), kept.alias("chars_left"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,8 +65,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_simhash, op5_decontaminate, op6_preference, op7_block_join, op8_hilbert, op9_token_counts, op10_toxicity)}
-
+    return {f.__name__: f for f in (op2_line_templates, op3_best_fit_packing, op4_simhash, op5_decontaminate, op6_preference, op7_block_join, op8_hilbert, op9_token_counts, op10_toxicity)}
+
+
+OP2_SQL = r"""
+with raw as (select doc_id, coalesce(doc_id, -9223372036854775808) as id, text, string_split(text, chr(10)) as parts from documents),
+lines as (select id, text, i, trim(regexp_replace(parts[i], '[ \t\r\x0b\f]+', ' ', 'g'), ' ') as clean from (select distinct id, text, parts, unnest(range(1, len(parts) + 1)) as i from raw)),
+masked as (select id, text, i, regexp_replace(clean, '[^ ]*[0-9][^ ]*', '<*>', 'g') as masked from lines where clean <> ''),
+leaves as (select *, string_split(masked, ' ') as tokens, len(string_split(masked, ' ')) as n, array_to_string(string_split(masked, ' ')[1:4], ' ') as head from masked),
+mixed as (select n, head from leaves group by n, head having count(distinct masked) > 1 and count(distinct id) >= 3),
+places as (select n, head, p, count(distinct tokens[p]) = 1 as fixed from (select l.n, l.head, l.tokens, unnest(range(1, l.n + 1)) as p from leaves l join mixed m on l.n = m.n and l.head = m.head) group by n, head, p),
+merged as (select n, head from places group by n, head having count(*) filter (where fixed) >= 0.7 * count(*)),
+named as (select l.id, l.text, l.i, case when m.n is not null then m.n || chr(9) || m.head else l.masked end as template from leaves l left join merged m on l.n = m.n and l.head = m.head),
+recurring as (select template, min(id) as home from named group by template having count(distinct id) >= 3),
+gone as (select distinct n.id, n.text, n.i from named n join recurring r on n.template = r.template where n.id <> r.home),
+cuts as (select id, text, count(*) as n, list(i) as gone from gone group by id, text),
+left_over as (select r.doc_id, coalesce(c.n, 0) as n, case when c.n is null then r.text else array_to_string([r.parts[i] for i in range(1, len(r.parts) + 1) if not list_contains(c.gone, i)], chr(10)) end as t from raw r left join cuts c on r.id = c.id and r.text = c.text)
+select doc_id, n::bigint as n_dropped, length(coalesce(t, ''))::bigint as chars_left, md5(coalesce(t, '')) as text_md5 from left_over
+"""
 
 #: Conversations: as swapped_answers() and preference_pairs(), with window functions.
 OP6_SQL = """
@@ -103,4 +125,4 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op6_preference": OP6_SQL, "op7_block_join": OP7_SQL}
+    return {"op2_line_templates": OP2_SQL, "op5_decontaminate": OP5_SQL, "op6_preference": OP6_SQL, "op7_block_join": OP7_SQL}
