@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hilbert, line_templates, nearest, packing, preference, simhash, token_counts, toxicity
+from . import decontaminate, hilbert, license_scan, line_templates, nearest, packing, preference, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda p: p["confirmed"])
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["family"]))), ",").alias("families"),
+        F.coalesce(F.round(F.array_max(F.transform("found", lambda p: p["probability"])), 6), F.lit(0.0)).alias("best_probability"),
+    )
+
+
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_templates.drop_templates(table(spark, sf_dir, "documents"), dropped="n_dropped")
     kept = F.coalesce(F.length("text"), F.lit(0)).cast("long")
@@ -65,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_templates, op3_best_fit_packing, op4_simhash, op5_decontaminate, op6_preference, op7_block_join, op8_hilbert, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_templates, op3_best_fit_packing, op4_simhash, op5_decontaminate, op6_preference, op7_block_join, op8_hilbert, op9_token_counts, op10_toxicity)}
 
 
 OP2_SQL = r"""
