@@ -12,19 +12,24 @@ fingerprints or a tokenizer, so there is no ORACLE_SQL: tests compare the pipeli
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from courier.llm import decontaminate, line_templates, packing, simhash, toxicity
 from courier.llm.common import cut_table, table
 from courier.llm.registry import tokenizer_path
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it now is."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_templates.drop_templates(docs)
+    return recounted(line_templates.drop_templates(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    return recounted(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
