@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-
-def contract_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.concat(F.lit("evt:"), "event_type", F.lit(":"), F.col("event_id").cast("string"))
-    ok = F.startswith(value, F.lit("evt:p")) & (F.octet_length(value) <= 24)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("offered"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("quarantined"))
+from .plans.queries import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"contract_tally": contract_tally}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
