@@ -139,10 +139,10 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def scan(docs: DataFrame, phrases: Phrases, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of each row and, in one struct `found`, what Phrases.scan() finds, and the text without it."""
+    """The columns of each row and, in one struct `__found`, what Phrases.scan() finds, and the text without it."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
     at = columns.index(text_col)
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("found", T.StructType.fromDDL(FOUND))])
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("__found", T.StructType.fromDDL(FOUND))])
     names = [f"c{i}" for i in range(len(columns))] + ["found"]
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("cut", pa.string())])
 
@@ -157,9 +157,9 @@ def scan(docs: DataFrame, phrases: Phrases, columns: list[str], text_col: str =
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names)
 
-    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     inner = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema.fields)])
-    return plain.mapInArrow(run, inner).toDF(*[*columns, "found"])
+    return plain.mapInArrow(run, inner).toDF(*[*columns, "__found"])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -167,14 +167,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lists = list(blocks(benchmark, item_col, item_text, max_bytes))
     if len(lists) == 1:
-        return scan(plain, Phrases(lists[0], window), ["doc_id", "text"]).select("doc_id", "found.*")
+        return scan(plain, Phrases(lists[0], window), ["doc_id", "text"]).select("doc_id", "__found.*")
     numbered = cut_table(plain.withColumn("row", F.monotonically_increasing_id()))
     parts = [scan(numbered, Phrases(items, window), ["row", "doc_id", "text"]) for items in lists]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionAll(part)
-    every = F.flatten(F.collect_list("found.spans"))
-    merged = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("found.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.items")))).alias("items"), F.array_sort(F.array_distinct(every)).alias("raw"))
+    every = F.flatten(F.collect_list("__found.spans"))
+    merged = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("__found.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__found.items")))).alias("items"), F.array_sort(F.array_distinct(every)).alias("raw"))
     joined = F.expr(
         "aggregate(raw, cast(array() as array<struct<start:int,end:int>>), (acc, s) -> if(size(acc) > 0 and s.start <= element_at(acc, -1).end,"
         " concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end)))), concat(acc, array(s))))"
@@ -200,6 +200,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     """
     out, columns = docs, docs.columns
     for items in blocks(benchmark, item_col, item_text, max_bytes):
-        found = scan(out, Phrases(items, window), columns, text_col).where(~contaminated("found.n_hit", "found.n_words"))
-        out = found.select(*[F.coalesce("found.cut", f"`{c}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+        found = scan(out, Phrases(items, window), columns, text_col).where(~contaminated("__found.n_hit", "__found.n_words"))
+        out = found.select(*[F.coalesce("__found.cut", f"`{c}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
     return out

@@ -180,5 +180,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each group stays: that with the smallest id. Rows that repeat an id whole stay together."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     stay = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct())
-    null = F.col(f"`{id_col}`").isNull()
-    return docs.join(stay, docs[id_col].cast("long") == stay["__stay"], "left").where(F.col("__stay").isNotNull() | null).select(*[docs[c] for c in docs.columns])
+    own = F.col(f"`{id_col}`")
+    kept = docs.join(stay, own.cast("long") == F.col("__stay"), "left").where(F.col("__stay").isNotNull() | own.isNull())
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
