@@ -31,8 +31,8 @@ CAPACITY = 2048
 END = 0
 #: Search nodes; beyond them the incumbent stands.
 NODES = 3000
-#: Rows of the rank table up to which it is broadcast; above, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of the rank table (about 100 bytes each in memory) up to which it is broadcast; above, it is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 

@@ -191,6 +191,15 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0), path()).count() == 0
 
 
+def test_packing_with_a_shuffled_rank_table(docs, monkeypatch):
+    keys = ["doc_id", "piece", "length", "ids_crc32"]
+    want = sorted(map(str, map(tuple, packing.pack(docs, path()).select(keys).collect())))
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    rows = packing.pack(docs, path()).collect()
+    assert sorted(str(tuple(r[k] for k in keys)) for r in rows) == want
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
 def least_bins(items, capacity):
     """By trying everything."""
     best = [len(items)]
