@@ -26,7 +26,7 @@ def assigned(assignments: DataFrame, members: DataFrame, keys: tuple[str, ...] =
 
 
 def expired(heartbeats: DataFrame, now: Column, timeout: Column, keys: tuple[str, ...] = ("group", "member"), at: str = "at") -> DataFrame:
-    return heartbeats.groupBy(*keys).agg(F.max(at).alias("last"), F.max(timeout).alias("__timeout")).where(now - F.col("last") > F.col("__timeout")).drop("__timeout")
+    return heartbeats.groupBy(*keys).agg(F.max(at).alias("last"), F.max(timeout).alias("__timeout")).where(now - F.col("last") >= F.col("__timeout")).drop("__timeout")
 
 
 def heartbeat_code(member_known: Column, generation: Column, current: Column, state: Column) -> Column:
@@ -47,23 +47,26 @@ class Coordinator:
             self.state, self.leader, self.deadline = (COMPLETING, min(self.seen), None) if self.seen else (EMPTY, None, None)
 
     def _expire(self, now: int) -> None:
-        for m in [m for m, at in self.seen.items() if now - at > self.session[m]]:
+        for m in [m for m, at in self.seen.items() if now - at >= self.session[m]]:
             del self.seen[m], self.session[m]
-        if not self.seen and self.state != EMPTY:
-            self.state, self.leader, self.deadline = EMPTY, None, None
+        if not self.seen:
+            self.state, self.leader = EMPTY, None
+        elif self.leader is not None and self.leader not in self.seen:
+            self.leader = min(self.seen)
 
     def _reopen(self, now: int) -> None:
-        if self.state != PREPARING:
-            self.generation += 1
-            self.state, self.deadline = PREPARING, now + self.window
+        self.generation += 1
+        self.state, self.deadline = PREPARING, now + self.window
 
     def apply(self, now: int, kind: str, member: str, generation: int = -1, session_ms: int = 10_000) -> int:
-        """The event's answer: 0, or an error code."""
+        """The event's answer: 0, or an error code. Joins and heartbeats look for expired members first."""
         self._finish(now)
-        self._expire(now)
+        if kind in ("join", "heartbeat"):
+            self._expire(now)
         if kind == "join":
             self.seen[member], self.session[member] = now, session_ms
-            self._reopen(now)
+            if self.state != PREPARING:
+                self._reopen(now)
             return 0
         if member not in self.seen:
             return UNKNOWN_MEMBER
@@ -71,19 +74,22 @@ class Coordinator:
             del self.seen[member], self.session[member]
             if self.seen:
                 self._reopen(now)
+                if self.leader == member:
+                    self.leader = min(self.seen)
             else:
                 self.state, self.leader, self.deadline = EMPTY, None, None
             return 0
+        if kind == "heartbeat":
+            self.seen[member] = now
         if generation != self.generation:
             return ILLEGAL_GENERATION
-        self.seen[member] = now
         if kind == "sync":
             if self.state == PREPARING:
                 return REBALANCE
             if member == self.leader:
                 self.state = STABLE
             return 0
-        return 0 if self.state == STABLE else REBALANCE
+        return 0 if self.state == STABLE else UNKNOWN_MEMBER if self.state == EMPTY else REBALANCE
 
 
 def membership(events: DataFrame, window_ms: int = REBALANCE_MS) -> DataFrame:

@@ -36,25 +36,50 @@ def rate(totals: DataFrame, count: str = "records", millis: str = "ms") -> DataF
     return totals.withColumn("per_second", F.when(F.col(millis) > 0, F.expr(f"({count} * 1000) div {millis}")).otherwise(F.lit(0).cast("long")))
 
 
-def window_trace(rtts: DataFrame, gain: float = 0.5, target_ms: float = 25.0, least: float = 2.0, most: float = 4096.0) -> DataFrame:
-    """Per link (link, ord, rtt_ms): the least round trip so far and the window of a delay-based controller."""
+def window_trace(rtts: DataFrame, first: float = 10.0, least: float = 1.0, most: float = 4096.0, queue_ms: float = 10.0, grow: float = 1.0, shrink: float = 0.85) -> DataFrame:
+    """Per link (link, ord, rtt_ms): the least round trip so far and the window of a delay-based controller.
+
+    The window grows by a step while the delay above the least round trip is within `queue_ms`, else shrinks by a factor.
+    """
     schema = rtts.select("link", "ord", "rtt_ms").schema.add("base_ms", "double").add("window", "double")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, base, size = object(), float("inf"), least
+        now, base, size = object(), float("inf"), first
         for part in parts:
             out = []
             for link, rtt in zip(part["link"], part["rtt_ms"]):
                 if link != now:
-                    now, base, size = link, float("inf"), least
+                    now, base, size = link, float("inf"), min(most, max(least, first))
                 base = min(base, rtt)
-                size = min(most, max(least, size + gain * (target_ms - (rtt - base)) / target_ms))
+                size = max(least, size * shrink) if rtt - base > queue_ms else min(most, size + grow)
                 out.append((base, size))
             yield part.assign(base_ms=[o[0] for o in out], window=[o[1] for o in out])
 
     return rtts.select("link", "ord", "rtt_ms").repartition("link").sortWithinPartitions("link", "ord").mapInPandas(run, schema)
 
 
+def bench_summary(results: DataFrame) -> DataFrame:
+    """Means of benchmark result files read as JSON: rates, megabytes a second, latencies; missing fields count as 0.
+
+    results: driver, workload, messageSize, publishRate array, consumeRate array, and latencies, as far as they are there.
+    """
+    kinds = dict(results.dtypes)
+    mean = lambda c: F.coalesce(F.aggregate(F.filter(c, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x, lambda a: F.when(F.size(F.filter(c, lambda x: x.isNotNull())) > 0, a / F.size(F.filter(c, lambda x: x.isNotNull())))), F.lit(0.0)) if c in kinds else F.lit(0.0)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in kinds else F.lit(0.0)
+    name = F.coalesce(*[F.col(c) for c in ("driver", "workload") if c in kinds], F.lit("?"))
+    out = results.select(name.alias("system"), mean("publishRate").alias("publish_rate"), number("messageSize").alias("__size"), mean("consumeRate").alias("consume_rate"), *[number(f"aggregatedEndToEndLatency{p}pct").alias(f"p{p}") for p in (50, 99, 999)])
+    return out.withColumn("publish_mb", F.col("publish_rate") * F.col("__size") / 1e6).drop("__size")
+
+
+def resource_summary(samples: DataFrame) -> DataFrame:
+    """Memory and CPU of each system (system, phase, rss_mb, cpu_pct): idle, and under load on average and at most."""
+    load = F.col("phase") == "load"
+    return samples.groupBy("system").agg(
+        F.avg(F.when(F.col("phase") == "idle", F.col("rss_mb"))).alias("idle_rss_mb"), F.avg(F.when(load, F.col("rss_mb"))).alias("load_rss_mb_avg"),
+        F.max(F.when(load, F.col("rss_mb"))).alias("load_rss_mb_max"), F.avg(F.when(load, F.col("cpu_pct"))).alias("load_cpu_pct"),
+    )
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other; empty for equal outputs."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import codec, hashing
-from ..operators import admit, contract, envelope, erasure, groups, landing, log, offsets, proof, routing, stats, txn
+from ..operators import admit, broker, contract, envelope, erasure, groups, landing, log, offsets, proof, routing, stats, txn
 from ..operators.ranking import newest, positions
+from . import faults
 from .tables import ARRIVALS, LOG, RECORDS, REDELIVERED, arrivals, logged, records, redelivered, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -405,7 +406,7 @@ def assignment_route(s, d):
     return groups.assigned(asked, members).groupBy("member", "partition").agg(F.count("*").alias("n"))
 
 
-@query("select event_type as \"group\", user_id as member, max(epoch_us(ts) // 1000) as last from events group by all having (select max(epoch_us(ts) // 1000) from events) - max(epoch_us(ts) // 1000) > 30000000")
+@query("select event_type as \"group\", user_id as member, max(epoch_us(ts) // 1000) as last from events group by all having (select max(epoch_us(ts) // 1000) from events) - max(epoch_us(ts) // 1000) >= 30000000")
 def session_expired(s, d):
     e = table(s, d, "events").select(F.col("event_type").alias("group"), F.col("user_id").alias("member"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
     now = e.agg(F.max("at")).first()[0]
@@ -639,3 +640,38 @@ def least_round_trip(s, d):
 @query("select page_id, url_encode(url) as key from pages")
 def blob_keys(s, d):
     return table(s, d, "pages").select("page_id", F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")).alias("key"))
+
+
+@query("select event_type as topic, user_id % 3 as partition, count(*) as latest from events where event_type <> 'error' group by all")
+def broker_produce(s, d):
+    """Two rounds of produce through the service; a partition with a bad record is refused as a whole."""
+    r = records(s, d)
+    service = broker.Broker.empty(s, contract.Contract(64, b"evt:"))
+    bad = r.where("topic = 'error'").withColumn("value", F.lit("no prefix"))
+    for part in (r.where("topic <> 'error' and arrival % 2 = 0").unionByName(bad), r.where("topic <> 'error' and arrival % 2 = 1")):
+        service, _ = service.produce(part)
+    return log.bounds(service.log).select("topic", "partition", "latest")
+
+
+@query("select topic, partition, case when topic = 'error' then 87 else 0 end as code from (select distinct event_type as topic, user_id % 3 as partition from events)")
+def broker_outcomes(s, d):
+    r = records(s, d).withColumn("value", F.expr("if(topic = 'error', 'no prefix', value)"))
+    return broker.Broker.empty(s, contract.Contract(64, b"evt:")).produce(r)[1].select("topic", "partition", "code")
+
+
+@query("select * from (values (0, 0, 7), (1, 0, 4), (2, 0, 2), (3, 0, 1), (8, 0, 2), (9, 0, 2), (10, 0, 2), (11, 1, 4), (12, 0, 2), (13, 0, 2), (14, 0, 2), (17, 0, 1), (18, 0, 3), (22, 0, 1), (24, 0, 1), (25, 0, 1), (26, 0, 1), (28, 0, 1), (36, 0, 1)) t(api, least, most)")
+def api_versions(s, d):
+    return broker.api_versions(s)
+
+
+@query(f"select stream, arrival, seq from {ARRIVALS} where (arrival * 31 + 7) % 10 >= 3")
+def lossy_link(s, d):
+    return faults.dropped(arrivals(s, d), F.expr("(arrival * 31 + 7) % 10 < 3")).select("stream", "arrival", "seq")
+
+
+@query(f"select stream, count(*) as sent, count(*) as committed from {ARRIVALS} group by stream")
+def fault_storm(s, d):
+    """Records dropped, repeated and reordered until all are acknowledged: each is committed once."""
+    sent = arrivals(s, d).withColumn("key", F.concat(F.col("stream").cast("string"), F.lit("/"), F.col("seq").cast("string")))
+    done = admit.admit(faults.storm(sent, rounds=4).select("stream", "arrival", "seq", "key")).where("disposition = 'Delivered'")
+    return sent.groupBy("stream").agg(F.count("*").alias("sent")).join(done.groupBy("stream").agg(F.count("*").alias("committed")), "stream")

@@ -44,3 +44,13 @@ def append_lines(records: DataFrame, path: str, value: str = "value") -> None:
 def blobs(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """Blobs below a folder whose names begin with a prefix, by key."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").load(path).select("path", "content", "length").orderBy("path")
+
+
+def stream_blobs(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """Objects as they appear below a folder, each once: the checkpoint is the cursor."""
+    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def put_objects(envelopes: DataFrame, path: str) -> None:
+    """Envelopes below route and stream, one folder for each; a rewrite of a stream replaces it."""
+    envelopes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("route", "stream").parquet(path)
