@@ -48,7 +48,8 @@ def blobs(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
 
 def stream_blobs(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """Objects as they appear below a folder, each once: the checkpoint is the cursor."""
-    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def put_objects(envelopes: DataFrame, path: str) -> None:
