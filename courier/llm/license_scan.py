@@ -16,13 +16,13 @@ rows; an empty table gives an empty one. Columns other than the id and the text
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -104,55 +104,49 @@ def variants(text: str, rng: random.Random, n: int) -> Iterable[list[str]]:
         yield out
 
 
-def softmax(z: list[float]) -> list[float]:
-    top = max(z)
-    e = [math.exp(x - top) for x in z]
-    return [x / sum(e) for x in e]
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 @lru_cache(1)
-def train(bits: int = BITS, seed: int = 7, epochs: int = 30, rate: float = 0.5, l1: float = 2e-4) -> Model:
-    """Fit and calibrate the classifier on variants of NOTICES and OTHERS. Deterministic."""
+def train(bits: int = BITS, seed: int = 7, steps: int = 400, rate: float = 8.0, l1: float = 2e-4) -> Model:
+    """Fit and calibrate the classifier on variants of NOTICES and OTHERS, by proximal gradient steps. Deterministic."""
     rng = random.Random(seed)
     families = [*sorted(NOTICES), UNKNOWN]
-    vocabulary = {slot(g, bits) for texts in NOTICES.values() for t in texts for g in grams(words(t)) if not COMMON.issuperset(g.split())}
+    vocabulary = sorted({slot(g, bits) for texts in NOTICES.values() for t in texts for g in grams(words(t)) if not COMMON.issuperset(g.split())})
+    column = {p: i for i, p in enumerate(vocabulary)}
 
-    def rows(n: int) -> list[tuple[int, list[int]]]:
+    def rows(n: int) -> tuple[np.ndarray, np.ndarray]:
         out = [(families.index(f), v) for f, texts in NOTICES.items() for t in texts for v in variants(t, rng, n)]
         out += [(len(families) - 1, v) for t in OTHERS for v in variants(t, rng, 3 * n)]
         filler = words(" ".join(OTHERS))
-        out += [(len(families) - 1, [rng.choice(filler) for _ in range(rng.choice((10, 40, 150)))]) for _ in range(60 * n)]
-        return [(y, sorted({slot(g, bits) for g in grams(v)} & vocabulary)) for y, v in out]
-
-    known, unseen = rows(10), rows(4)
-    weights = {p: [0.0] * len(families) for p in vocabulary}
-    bias = [0.0] * len(families)
-    logits = lambda x: [b + sum(weights[p][k] for p in x) for k, b in enumerate(bias)]
-    for epoch in range(epochs):
-        rng.shuffle(known)
-        step = rate / (1 + 0.2 * epoch)
-        for y, x in known:
-            p = softmax(logits(x))
-            for k in range(len(families)):
-                g = step * (p[k] - (k == y))
-                if abs(g) < 1e-5:
-                    continue
-                bias[k] -= 0.1 * g
-                for q in x:
-                    weights[q][k] -= g / math.sqrt(len(x))
-        for row in weights.values():  # the L1 penalty, once an epoch
-            for k, w in enumerate(row):
-                row[k] = math.copysign(max(0.0, abs(w) - step * l1 * len(known) / 100), w)
-    zs = [(y, logits(x)) for y, x in unseen]
-    loss = lambda t: -sum(math.log(max(softmax([v / t for v in z])[y], 1e-12)) for y, z in zs)
-    temperature = min((0.5 + 0.1 * i for i in range(36)), key=loss)
-    places = sorted(p for p, row in weights.items() if any(row))
+        out += [(len(families) - 1, [rng.choice(filler) for _ in range(rng.randint(0, rng.choice((10, 40, 150))))]) for _ in range(60 * n)]
+        x = np.zeros((len(out), len(vocabulary)))
+        for i, (_, v) in enumerate(out):
+            x[i, [column[p] for p in {slot(g, bits) for g in grams(v)} if p in column]] = 1
+        return x, np.array([y for y, _ in out])
+
+    (x, y), (unseen, truth) = rows(10), rows(4)
+    target = np.eye(len(families))[y]
+    w, bias = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
+    for step in range(steps):
+        error = softmax(x @ w + bias) - target
+        size = rate / (1 + 0.01 * step)
+        w -= size * (x.T @ error) / len(x)
+        w = np.sign(w) * np.maximum(0, np.abs(w) - size * l1)  # the L1 penalty
+        bias -= 0.1 * size * error.mean(axis=0)
+    z = unseen @ w + bias
+    loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(truth)), truth], 1e-12)).sum()
+    temperature = min((round(0.3 + 0.1 * i, 1) for i in range(38)), key=loss)
+    used = [i for i in range(len(vocabulary)) if w[i].any()]
     notices = []
     for f, texts in NOTICES.items():
         for t in texts:
-            w = words(t)
-            notices.append((families.index(f), sorted({slot(f"{a} {b}", bits) for a, b in zip(w, w[1:])})))
-    return Model(families, places, [[round(w, 5) for w in weights[p]] for p in places], [round(b, 5) for b in bias], round(temperature, 1), notices, sorted({slot(w, bits) for texts in NOTICES.values() for t in texts for w in words(t)}))
+            own = words(t)
+            notices.append((families.index(f), sorted({slot(f"{a} {b}", bits) for a, b in zip(own, own[1:])})))
+    known = sorted({slot(v, bits) for texts in NOTICES.values() for t in texts for v in words(t)})
+    return Model(families, [vocabulary[i] for i in used], np.round(w[used], 5).tolist(), np.round(bias, 5).tolist(), temperature, notices, known)
 
 
 def place_of(gram: Column, bits: int) -> Column:
