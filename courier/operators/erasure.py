@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # Fixed value: the field's reducing polynomial.
 POLYNOMIAL = 0x11D
@@ -74,9 +75,16 @@ class Code:
         """The record from any k shards; None if fewer are left."""
         if len(shards) < self.k:
             return None
-        use = sorted(shards)[: self.k]
+        use = tuple(sorted(shards)[: self.k])
         rows = np.stack([np.frombuffer(shards[i], np.uint8) for i in use])
-        return times(inverted(self.rows[use]), rows).tobytes()[:length]
+        if use[-1] < self.k:  # all data shards are there
+            return rows.tobytes()[:length]
+        return times(_solver(self.k, self.m, use), rows).tobytes()[:length]
+
+
+@lru_cache(4096)
+def _solver(k: int, m: int, use: tuple[int, ...]) -> np.ndarray:
+    return inverted(Code(k, m).rows[list(use)])
 
 
 def encode(records: DataFrame, code: Code, key: str = "id", value: str = "value") -> DataFrame:
@@ -96,9 +104,11 @@ def encode(records: DataFrame, code: Code, key: str = "id", value: str = "value"
 def restore(shards: DataFrame, code: Code) -> DataFrame:
     """(id, value) of each record; value is null where too few shards are left. A record's shards are k + m at most."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = {int(i): bytes(b) for i, b in zip(rows["idx"], rows["bytes"])}
-        return pd.DataFrame({"id": rows["id"].iloc[:1], "value": [code.restore(found, int(rows["orig_len"].iloc[0]))]})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            values = [code.restore({int(s["idx"]): bytes(s["bytes"]) for s in own}, int(n)) for own, n in zip(part["shards"], part["orig_len"])]
+            yield pd.DataFrame({"id": part["id"], "value": values})
 
+    together = shards.groupBy("id").agg(F.collect_set(F.struct("idx", "bytes")).alias("shards"), F.max("orig_len").alias("orig_len"))
     kind = shards.schema["id"].dataType.simpleString()
-    return shards.groupBy("id").applyInPandas(run, f"id {kind}, value binary")
+    return together.mapInPandas(run, f"id {kind}, value binary")

@@ -37,8 +37,24 @@ def levels(leaves: DataFrame, log: str = "log_id") -> list[DataFrame]:
     return out
 
 
-def roots(leaves: DataFrame, log: str = "log_id") -> DataFrame:
-    return levels(leaves, log)[-1].select(log, F.lower(F.hex("hash")).alias("root"))
+def folded(level: DataFrame, depth: int, log: str = "log_id") -> DataFrame:
+    """The level `depth` levels up, by one shuffle: 2^depth neighbours meet and are hashed pairwise, level by level."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"])
+    up = (
+        f"aggregate(sequence(1, {depth}), __h, (acc, k) -> transform(sequence(0, (size(acc) - 1) div 2), i -> if(get(acc, cast(2 * i + 1 as int)) is null,"
+        " get(acc, cast(2 * i as int)), unhex(sha2(concat(X'01', get(acc, cast(2 * i as int)), get(acc, cast(2 * i + 1 as int))), 256)))))"
+    )
+    out = level.groupBy(log, F.shiftright("idx", depth).alias("idx")).agg(rows.cast("array<binary>").alias("__h"))
+    return out.select(log, "idx", F.get(F.expr(up), F.lit(0)).alias("hash"))
+
+
+def roots(leaves: DataFrame, log: str = "log_id", step: int = 8) -> DataFrame:
+    """The root of each log. Levels are taken `step` at a time, so there are few shuffles and no large groups."""
+    now, size = leaves.select(log, "idx", "hash"), leaves.groupBy(log).count().agg(F.max("count")).first()[0] or 0
+    while size > 1:
+        depth = min(step, (size - 1).bit_length())
+        now, size = folded(now, depth, log), -(-size // (1 << depth))
+    return now.select(log, F.lower(F.hex("hash")).alias("root"))
 
 
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
