@@ -224,9 +224,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of tokenise() (materialised) -> the same with sequence_id and offset."""
     parts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    full = counts.pop(capacity, 0)
+    counts.pop(capacity, None)  # full pieces have a sequence each
     found = Places(complete(counts, capacity), capacity)
-    del full
     sent = pieces.sparkSession.sparkContext.broadcast(found)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = parts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -15,6 +15,7 @@ fingerprint, null if only null ids are in it). Only the id and text columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +29,9 @@ from .words import LOWER, NOT_SPACE, Words, slices, utf8
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Variants that one bucket writes out at most, on average.
+#: Variants of one bucket, on average; and those that a task writes out at once, beyond which it takes a bucket in parts.
 BUCKET_VARIANTS = 2_000_000
+MOST_VARIANTS = 8_000_000
 
 
 def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -74,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+@lru_cache(256)
 def flips(bits: int, most: int, low: int = 0) -> np.ndarray:
     """Masks of up to `most` of the `bits` bits from bit `low` on, with the empty one first."""
     return np.array([sum(1 << (low + i) for i in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.uint64)
@@ -103,6 +106,18 @@ def linked_in_bucket(bucket: int, found: np.ndarray, prefix: int, radius: int) -
     found = np.unique(found)
     moved = np.bitwise_count((found >> np.uint64(low_bits)) ^ np.uint64(bucket)) if prefix else np.zeros(len(found), np.uint8)
     suffix_mask = np.uint64((1 << low_bits) - 1) if low_bits < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
+    counts = np.bincount(moved, minlength=half + 1)
+    if low_bits > 8 and sum(int(counts[j]) * len(flips(low_bits, half - j)) for j in range(half + 1)) > MOST_VARIANTS:
+        # a dense neighbourhood: its buckets of a longer prefix, one after another
+        parts = []
+        for sub in range(bucket << 4, (bucket + 1) << 4):
+            near = found[np.bitwise_count((found >> np.uint64(low_bits - 4)) ^ np.uint64(sub)) <= half]
+            if len(near) > 1:
+                parts.append(linked_in_bucket(sub, near, prefix + 4, radius))
+        a, b = (np.searchsorted(found, np.concatenate(x)) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+        root = forest(len(found), a, b)
+        others = np.flatnonzero(root != np.arange(len(found)))
+        return found[others], found[root[others]]
     values, owners = [], []
     for j in range(half + 1):
         own = np.flatnonzero(moved == j)

@@ -289,6 +289,19 @@ def test_ball_hashing_links_exactly_within_the_radius(spark):
     assert [root.get(p, p) for p in signed] == want
 
 
+def test_a_dense_bucket_is_taken_in_parts(monkeypatch):
+    rng = random.Random(9)
+    near = {0xABCD << 40 ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(120)}
+    found = np.array(sorted(near), np.uint64)
+    for prefix in (0, 8):
+        for bucket in {int(x) >> (64 - prefix) for x in near} if prefix else {0}:
+            want = simhash.linked_in_bucket(bucket, found, prefix, 4)
+            monkeypatch.setattr(simhash, "MOST_VARIANTS", 2000)
+            got = simhash.linked_in_bucket(bucket, found, prefix, 4)
+            monkeypatch.undo()
+            assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
 def test_near_copies_leave_one(docs):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
