@@ -557,9 +557,6 @@ def leaf_hashes(s, d):
     return e.select(F.col("event_type").alias("log_id"), "event_id", F.lower(F.hex(made)).alias("leaf"))
 
 
-BLOB = "(select doc_id, text::blob as b from documents)"
-
-
 @query("select doc_id, i as idx, md5(array_to_string(string_split(hex(encode(text)), '')[i * 2000 + 1 : i * 2000 + 2000], '')) as piece from (select *, unnest(range(0, greatest((octet_length(encode(text)) + 999) // 1000, 1))) as i from documents)")
 def chunk_split(s, d):
     return proof.chunks(table(s, d, "documents"), "doc_id", "text", 1000).select("doc_id", "idx", F.md5(F.hex("bytes").cast("binary")).alias("piece"))
