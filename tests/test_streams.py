@@ -132,3 +132,19 @@ def test_objects_by_route_and_stream(spark, tmp_path):
     lines.put_objects(rows, str(tmp_path / "o"))
     lines.put_objects(rows.where("stream = 's'").withColumn("seq", F.lit(9).cast("long")), str(tmp_path / "o"))
     assert sorted((r["stream"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [("s", 9), ("t", 2)]
+
+
+def test_group_membership_goes_on_after_a_restart(spark, tmp_path):
+    from courier.operators import groups
+    from courier.streaming.groups import membership_stream
+
+    schema = "ord long, now_ms long, kind string, group string, member string, generation int, session_ms int"
+    plan = [("join", "a", -1), ("join", "b", -1), ("heartbeat", "a", 1), ("sync", "a", 1), ("heartbeat", "b", 1), ("leave", "a", 1), ("heartbeat", "b", 1), ("heartbeat", "b", 2)]
+    rows = [(n, n * 1600, k, g, m, e, 60_000) for n, (k, m, e) in enumerate(plan) for g in ("x", "y")]
+    want = {(r["group"], r["ord"]): (r["code"], r["state"], r["current_generation"], r["leader"], r["members"]) for r in groups.membership(spark.createDataFrame(rows, schema)).collect()}
+    for part in (rows[:6], rows[6:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = membership_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["group"], r["ord"]): (r["code"], r["state"], r["current_generation"], r["leader"], r["members"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == want
