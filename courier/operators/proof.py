@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hmac_sha256, le64, sha256_of
 from ..model import CHUNK
+from .lineage import cut
 
 
 def leaf(envelope_id: Column, route: Column, stream: Column, seq: Column, epoch: Column) -> Column:
@@ -28,11 +31,13 @@ def next_level(level: DataFrame, log: str = "log_id") -> DataFrame:
 
 
 def levels(leaves: DataFrame, log: str = "log_id") -> list[DataFrame]:
-    """All levels from the leaves to the roots. Their number is the logarithm of the largest log."""
-    out = [leaves.select(log, "idx", "hash")]
+    """All levels from the leaves to the roots, materialised: each is read by the next one and by its proofs.
+
+    Their number is the logarithm of the largest log."""
+    out = [cut(leaves.select(log, "idx", "hash"))]
     size = leaves.groupBy(log).count().agg(F.max("count")).first()[0] or 0
     while size > 1:
-        out.append(next_level(out[-1], log))
+        out.append(cut(next_level(out[-1], log)))
         size = (size + 1) // 2
     return out
 
@@ -62,15 +67,13 @@ EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 def inclusion_proofs(leaves: DataFrame, log: str = "log_id") -> DataFrame:
     """(log, idx, path): the siblings from each leaf to the root, with their sides; a level without a sibling adds none."""
-    steps = None
-    for depth, level in enumerate(levels(leaves, log)[:-1]):
-        at = leaves.select(log, "idx", F.shiftright("idx", depth).alias("__at"))
-        other = level.select(log, F.col("idx").alias("__other"), "hash")
-        found = at.withColumn("__other", F.col("__at").bitwiseXOR(F.lit(1))).join(other, [log, "__other"])
-        step = found.select(log, "idx", F.struct(F.lit(depth).alias("depth"), F.col("hash").alias("sibling"), (F.col("__at") % 2 == 0).alias("right")).alias("step"))
-        steps = step if steps is None else steps.unionByName(step)
-    if steps is None:
+    below = levels(leaves, log)[:-1]
+    if not below:
         return leaves.select(log, "idx", F.expr("cast(array() as array<struct<depth:int,sibling:binary,right:boolean>>)").alias("path"))
+    nodes = reduce(DataFrame.unionByName, (x.select(log, F.lit(d).alias("depth"), F.col("idx").alias("__other"), "hash") for d, x in enumerate(below)))
+    at = leaves.select(log, "idx", F.explode(F.sequence(F.lit(0), F.lit(len(below) - 1))).alias("depth")).withColumn("__at", F.expr("shiftright(idx, depth)"))
+    found = at.withColumn("__other", F.col("__at").bitwiseXOR(F.lit(1))).join(nodes, [log, "depth", "__other"])
+    steps = found.select(log, "idx", F.struct("depth", F.col("hash").alias("sibling"), (F.col("__at") % 2 == 0).alias("right")).alias("step"))
     paths = steps.groupBy(log, "idx").agg(F.array_sort(F.collect_list("step")).alias("path"))
     return leaves.select(log, "idx").join(paths, [log, "idx"], "left").withColumn("path", F.coalesce("path", F.expr("cast(array() as array<struct<depth:int,sibling:binary,right:boolean>>)")))
 
