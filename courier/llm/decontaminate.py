@@ -31,7 +31,7 @@ from .fm_index import FmIndex
 from .words import ALNUM, LOWER, Words, slices, utf8
 
 WINDOW = 13
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes of benchmark text that the driver reads and sends out at once.
 MAX_BYTES = 32 << 20
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, cut string"

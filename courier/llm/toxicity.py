@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << bits), np.int32)
         for batch in batches:
-            for a, b in slices(batch.column(2), 1 << 20):
+            for a, b in slices(batch.column(2), 1 << 19):
                 part = batch.slice(a, b - a)
                 for y, x in zip(part.column(1).to_pylist(), per_row(part.column(2), bits)):
                     seen[y, x] += 1
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(2), 1 << 20):
+            for a, b in slices(batch.column(2), 1 << 19):
                 part = batch.slice(a, b - a)
                 packed = [x[use[x]].astype("<i4").tobytes() for x in per_row(part.column(2), bits)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["id", "y", "features"])
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 20):
+            for a, b in slices(batch.column(1), 1 << 19):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.score(part.column(1)))], ["doc_id", "score"])
 
@@ -177,7 +177,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(at), 1 << 20):
+            for a, b in slices(batch.column(at), 1 << 19):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(sent.value.score(part.column(at)) < threshold))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +42,18 @@ def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def table(base: np.uint64) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[:1] = 1
-        return np.cumprod(out, dtype=np.uint64)
+_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    return table(BASE), table(BASE_INVERSE)
 
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, (n + 1).bit_length()))
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n + 1 at least; a worker keeps one pair of tables, as long as it has needed."""
+    if len(_tables[0]) <= n:
+        size = 1 << max(16, (n + 1).bit_length())
+        for i, base in enumerate((BASE, BASE_INVERSE)):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            _tables[i] = np.cumprod(out, dtype=np.uint64)
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
