@@ -38,6 +38,23 @@ def test_recurring_lines_go_and_documents_stay(stages):
     assert sorted(rows_of(after)) == sorted(brute_lines(rows_of(before)))
 
 
+def test_templates_of_groups_within_a_leaf(spark):
+    head = "all of these lines"
+    a, b = [f"{head} " + " ".join(f"{x}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(56)) for x in ("p", "q")]
+
+    def edited(line, k):  # 17 of 60 tokens: with k's edits elsewhere, no place but the head is the same in all
+        w = line.split(" ")
+        for i in range(17):
+            w[4 + (11 * k + i) % 56] = f"edit{chr(97 + k)}{chr(97 + i)}"
+        return " ".join(w)
+
+    texts = [*[a] * 3, *[edited(a, k) for k in range(6)], *[b] * 2, *[edited(b, k) for k in range(6, 9)], f"{head} " + " ".join(f"z{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(56))]
+    table = spark.createDataFrame([(i, f"own {i}x line\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    with_line = lambda df: sorted(i for i, t in rows_of(df) if head in t)
+    assert with_line(corpus_pipeline.cut_lines(spark, table, "")) == [0, 9, 14]
+    assert corpus_pipeline.cut_lines(spark, table.limit(0), "").count() == 0
+
+
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[2]
     rows = rows_of(before)
