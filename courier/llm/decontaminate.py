@@ -20,13 +20,15 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut_table
+from .common import cut, cut_table
 from .fm_index import FmIndex
 from .words import ALNUM, LOWER, Words, slices, utf8
 
@@ -34,7 +36,7 @@ WINDOW = 13
 SHARD_BYTES = 1 << 20
 #: Bytes of benchmark text that the driver reads and sends out at once.
 MAX_BYTES = 32 << 20
-FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, cut string"
+FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, cut string, places array<struct<start:int,end:int,first:int,last:int>>"
 
 
 class Phrases:
@@ -139,12 +141,13 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def scan(docs: DataFrame, phrases: Phrases, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of each row and, in one struct `__found`, what Phrases.scan() finds, and the text without it."""
+    """The columns of each row and, in one struct `__found`, what Phrases.scan() finds, the text without it, and in
+    `places` the spans of words with the same spans in bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
     at = columns.index(text_col)
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("__found", T.StructType.fromDDL(FOUND))])
     names = [f"c{i}" for i in range(len(columns))] + ["found"]
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("cut", pa.string())])
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("cut", pa.string()), ("places", pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "end", "first", "last")])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +155,7 @@ def scan(docs: DataFrame, phrases: Phrases, columns: list[str], text_col: str =
                 part = batch.slice(a, b - a)
                 texts = part.column(at)
                 found = [
-                    {"n_words": w, "n_hit": h, "items": i, "spans": [{"start": x, "end": y} for x, y in s], "cut": without(texts[r].as_py(), cut) if cut else None}
+                    {"n_words": w, "n_hit": h, "items": i, "spans": [{"start": x, "end": y} for x, y in s], "cut": without(texts[r].as_py(), cut) if cut else None, "places": [{"start": x, "end": y, "first": p, "last": q} for (x, y), (p, q) in zip(s, cut)]}
                     for r, (w, h, i, s, cut) in enumerate(sent.value.scan(texts))
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names)
@@ -167,7 +170,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lists = list(blocks(benchmark, item_col, item_text, max_bytes))
     if len(lists) == 1:
-        return scan(plain, Phrases(lists[0], window), ["doc_id", "text"]).select("doc_id", "__found.*")
+        return scan(plain, Phrases(lists[0], window), ["doc_id", "text"]).select("doc_id", *[f"__found.{c}" for c in ("n_words", "n_hit", "items", "spans", "cut")])
     numbered = cut_table(plain.withColumn("row", F.monotonically_increasing_id()))
     parts = [scan(numbered, Phrases(items, window), ["row", "doc_id", "text"]) for items in lists]
     rows = parts[0]
@@ -196,10 +199,28 @@ def report(found: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Contaminated documents go; documents hit below the rule's share stay, without the spans; others stay as they are.
 
-    A benchmark of several blocks is taken out block by block, and a document's share is then that of the block.
+    Each block of a benchmark of several is searched in the original texts; the rule and the cut are for all blocks' spans.
     """
-    out, columns = docs, docs.columns
-    for items in blocks(benchmark, item_col, item_text, max_bytes):
-        found = scan(out, Phrases(items, window), columns, text_col).where(~contaminated("__found.n_hit", "__found.n_words"))
-        out = found.select(*[F.coalesce("__found.cut", f"`{c}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
-    return out
+    lists, columns = blocks(benchmark, item_col, item_text, max_bytes), docs.columns
+    one, two = next(lists), next(lists, None)
+    if two is None:
+        found = scan(docs, Phrases(one, window), columns, text_col).where(~contaminated("__found.n_hit", "__found.n_words"))
+        return found.select(*[F.coalesce("__found.cut", f"`{c}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+    names = [f"c{i}" for i in range(len(columns))]
+    text = names[columns.index(text_col)]
+    numbered = cut_table(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    parts = [cut(scan(numbered.select("row", text), Phrases(items, window), ["row", text], text).where("__found.n_hit > 0").select("row", "__found.n_words", "__found.places")) for items in chain([one, two], lists)]
+    merged = reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("raw"))
+    joined = F.expr(
+        "aggregate(raw, cast(array() as array<struct<start:int,end:int,first:int,last:int>>), (acc, s) -> if(size(acc) > 0 and s.start <= element_at(acc, -1).end,"
+        " concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end), 'first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, s.last)))), concat(acc, array(s))))"
+    )
+    merged = merged.withColumn("places", joined).withColumn("n_hit", F.expr("aggregate(places, 0L, (n, s) -> n + s.end - s.start)"))
+    merged = merged.select("row", "places", contaminated().alias("goes"))
+    data = f"cast({text} as binary)"
+    left = F.expr(
+        f"cast(aggregate(places, named_struct('at', 0, 'out', cast('' as binary)), (a, s) -> named_struct('at', s.last, 'out', concat(a.out, substring({data}, a.at + 1, s.first - a.at))),"
+        f" a -> concat(a.out, substring({data}, a.at + 1, octet_length({text}) - a.at))) as string)"
+    )
+    kept = numbered.join(merged, "row", "left").where("goes is null or not goes")
+    return kept.select(*[F.when(F.col("places").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in names]).toDF(*columns)

@@ -370,6 +370,21 @@ def test_small_overlaps_are_cut_out(spark, words):
     assert row["text"] == f"{long}. . tail"
 
 
+def test_blocks_of_the_benchmark_are_removed_as_one(spark, docs, words):
+    a, b, c, long = words(15), words(15), words(20), words(470)
+    w = c.split()
+    items = [(1, a), (2, b), (3, " ".join(w[:15])), (4, " ".join(w[5:])), (5, "Same text here"), (6, "é" * 50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(bool(x) for x in decontaminate.blocks(bench, "item_id", "text", 40)) > 3
+    extra = [(500, f"{a}, {long}; {b}"), (501, f"é {long}; {c}. tail"), (502, f"{long} {a}; tail"), (503, f"{long} {long} {a} - {b} tail")]
+    table = docs.unionByName(spark.createDataFrame([(i, t, "l", "s", 1, None, None, None, None) for i, t in extra], SCHEMA))
+    whole, parts = decontaminate.remove(table, bench), decontaminate.remove(table, bench, max_bytes=40)
+    assert parts.columns == table.columns
+    assert sorted(map(str, map(tuple, parts.collect()))) == sorted(map(str, map(tuple, whole.collect())))
+    kept = dict(rows_of(parts))
+    assert 500 not in kept and kept[501] == f"é {long}; . tail" and kept[503] == f"{long} {long}  tail"
+
+
 # 6
 
 
