@@ -1,14 +1,16 @@
 """Licence scans: a trained paragraph classifier with an unknown class, confirmed against templates.
 
 Training is small and happens on the driver: notices of each family, varied by a fixed rule, and paragraphs that are no
-licence. Features are the distinct words and word pairs of a paragraph (a line), hashed to 2^16 places; the model is a
+licence. Features are the distinct words and word pairs of a paragraph, hashed to 2^16 places; the model is a
 multinomial logistic regression with an L1 penalty, so few places have weights, and its temperature is calibrated on
 variants that it has not seen. The class `unknown` is trained like the others; features that no notice has carry no
 weight, so ordinary prose falls to it.
 
 Scanning uses DataFrame functions only and no shuffle: every paragraph of every text is hashed, looked up in literal
 tables and scored; a family predicted with enough probability is confirmed if the paragraph holds enough of the pairs
-of one of the family's notices.
+of one of the family's notices. Each line is a paragraph; so that wrapped notices are found, a run of lines with words
+is one too, under the number of its first line. A run is reported if it is confirmed and none of its lines confirms
+its family. Comment marks are no words.
 
 Nulls: a null text has no paragraphs. A paragraph without words isn't counted. A null id keeps its row, as do repeated
 rows; an empty table gives an empty one. Columns other than the id and the text don't matter.
@@ -202,11 +204,25 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), paragraphs.alias("p"))
     docs = docs.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), numbered(p["t"]).alias("w"))).alias("p"))
-    docs = docs.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), features(p["w"]).alias("x"))))
+    # runs of two lines or more whose numbers follow one another: their words, without the empty ones at the lines' ends
+    after = lambda i: F.get("p", i)["paragraph"] - F.get("p", i - 1)["paragraph"] == 1
+    index = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1)).otherwise(F.array().cast("array<int>"))
+    docs = docs.withColumn("first", F.filter(index, lambda i: ~F.coalesce(after(i), F.lit(False)))).withColumn("last", F.filter(index, lambda i: ~F.coalesce(after(i + 1), F.lit(False))))
+    runs = F.filter(F.zip_with("first", "last", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["b"] > r["a"])
+    docs = docs.withColumn("runs", F.transform(runs, lambda r: F.struct(
+        F.get("p", r["a"])["paragraph"].alias("paragraph"), F.get("p", r["b"])["paragraph"].alias("last"),
+        F.filter(F.flatten(F.transform(F.slice("p", r["a"] + 1, r["b"] - r["a"] + 1), lambda p: p["w"])), lambda w: w["w"] != "").alias("w"),
+    )))
+    docs = docs.select("doc_id", "n_paragraphs", F.concat(F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["paragraph"].alias("last"), p["w"].alias("w"))), F.col("runs")).alias("p"))
+    docs = docs.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["last"].alias("last"), features(p["w"]).alias("x"))))
     # a paragraph with the bias alone is `unknown`: only those with two features or more are scored
-    docs = docs.withColumn("p", F.transform(F.filter("p", lambda p: F.size(p["x"]) > 1), lambda p: F.struct(p["paragraph"].alias("paragraph"), p["x"].alias("x"), score(p["x"]).alias("z"))))
-    docs = docs.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["x"].alias("x"), p["z"].alias("z"), (F.array_position(p["z"], F.array_max(p["z"])) - 1).cast("int").alias("best"))))
+    docs = docs.withColumn("p", F.transform(F.filter("p", lambda p: F.size(p["x"]) > 1), lambda p: F.struct(p["paragraph"].alias("paragraph"), p["last"].alias("last"), p["x"].alias("x"), score(p["x"]).alias("z"))))
+    docs = docs.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["last"].alias("last"), p["x"].alias("x"), p["z"].alias("z"), (F.array_position(p["z"], F.array_max(p["z"])) - 1).cast("int").alias("best"))))
     docs = docs.withColumn("p", F.filter("p", lambda p: p["best"] < k - 1))
     odds = lambda z: 1 / F.aggregate(z, F.lit(0.0), lambda total, v: total + F.exp(v - F.array_max(z)))
-    docs = docs.withColumn("p", F.filter(F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["best"].alias("best"), odds(p["z"]).alias("probability"), match(p["x"], p["best"]).alias("match"))), lambda p: p["probability"] >= probability))
-    return docs.select("doc_id", "n_paragraphs", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), F.get(names, p["best"]).alias("family"), p["probability"].alias("probability"), p["match"].alias("match"), (p["match"] >= confirm).alias("confirmed"))).alias("found"))
+    docs = docs.withColumn("p", F.filter(F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), p["last"].alias("last"), p["best"].alias("best"), odds(p["z"]).alias("probability"), match(p["x"], p["best"]).alias("match"))), lambda p: p["probability"] >= probability))
+    docs = docs.withColumn("p", F.transform("p", lambda p: F.struct(p["paragraph"].alias("paragraph"), F.get(names, p["best"]).alias("family"), p["probability"].alias("probability"), p["match"].alias("match"), (p["match"] >= confirm).alias("confirmed"), p["last"].alias("last"))))
+    docs = docs.withColumn("lines", F.filter("p", lambda p: p["last"] == p["paragraph"]))
+    told = lambda r: F.exists("lines", lambda p: p["confirmed"] & (p["family"] == r["family"]) & p["paragraph"].between(r["paragraph"], r["last"]))
+    found = F.array_sort(F.concat("lines", F.filter("p", lambda p: (p["last"] > p["paragraph"]) & p["confirmed"] & ~told(p))))
+    return docs.select("doc_id", "n_paragraphs", F.transform(found, lambda p: F.struct(*[p[c].alias(c) for c in ("paragraph", "family", "probability", "match", "confirmed")])).alias("found"))

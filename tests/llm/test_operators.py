@@ -63,6 +63,16 @@ def test_license_scan_finds_families_and_leaves_prose(spark):
     assert found[2]["n_paragraphs"] == 3 and found[3]["n_paragraphs"] == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"
+    gpl = "x = 1\n\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# more"
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:\n *\n * 1. Redistributions of source code"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    prose = "The version of the work that the author released\nin the public library was modified. A licensed driver\nmay use this car for any purpose."
+    found = {r["doc_id"]: [(p["paragraph"], p["family"]) for p in r["found"] if p["confirmed"]] for r in license_scan.scan(spark.createDataFrame(list(enumerate([mit, gpl, bsd, isc, prose])), "doc_id long, text string")).collect()}
+    assert found == {0: [(4, "mit")], 1: [(2, "gpl")], 2: [(1, "bsd")], 3: [(0, "isc")], 4: []}
+
+
 def test_license_model_on_unseen_variants():
     model = license_scan.train()
     rng = random.Random(99)
