@@ -130,8 +130,24 @@ def covers(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return any(size >= b[0] and covers((*a[:i], size - b[0], *a[i + 1 :]), rest) for i, size in enumerate(a))
 
 
+def grown(filling: tuple[int, ...], counts: dict[int, int], room: int, lengths: np.ndarray) -> tuple[int, ...]:
+    """The filling and, as long as any length fits, the largest that does."""
+    out, left = list(filling), room - sum(filling)
+    i = len(lengths) - 1
+    while i >= 0:
+        i = min(i, int(np.searchsorted(lengths, left, "right")) - 1)
+        if i < 0:
+            break
+        x = int(lengths[i])
+        if k := min(left // x, counts[x] - out.count(x)):
+            out += [x] * k
+            left -= k * x
+        i -= 1
+    return tuple(sorted(out, reverse=True))
+
+
 def fillings(counts: dict[int, int], room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated sets of up to three further lengths for a bin with so much room, least waste first."""
+    """Undominated sets of further lengths for a bin with so much room, least waste first; none has room for another."""
     lengths = np.array(sorted(x for x in counts if x <= room), np.int64)
     if not len(lengths):
         return [()]
@@ -149,11 +165,11 @@ def fillings(counts: dict[int, int], room: int, width: int) -> list[tuple[int, .
     if max(map(sum, found)) < room:
         for x in lengths[lengths < room - 1].tolist()[-64:]:
             found.update(tuple(sorted((x, *p), reverse=True)) for p in pairs(room - x)[:2])
-    fit = [f for f in found if all(counts[x] >= f.count(x) for x in f)] or [(int(lengths[-1]),)]
+    fit = list({grown(f, counts, room, lengths) for f in found if all(counts[x] >= f.count(x) for x in f)} or {grown((), counts, room, lengths)})
     fit.sort(key=lambda f: (room - sum(f), len(f), [-x for x in f]))
     out: list[tuple[int, ...]] = []
     for f in fit:
-        if not any(covers(g, f) for g in out):
+        if not any(len(f) <= 4 and covers(g, f) for g in out):  # of many pieces the search for a dealing takes too long
             out.append(f)
         if len(out) == width:
             break

@@ -229,6 +229,18 @@ def least_bins(items, capacity):
     return best[0]
 
 
+def test_bins_of_many_short_pieces_reach_the_bound():
+    counts = {167: 3, 151: 1, 125: 1, 64: 1, 67: 2, 76: 1, 46: 1, 50: 1, 146: 1, 48: 1, 85: 1, 134: 1, 31: 1, 109: 1, 133: 1, 102: 1, 107: 1}
+    made = packing.complete(counts, 512)
+    held = collections.Counter()
+    for times, items in made:
+        assert sum(x * k for x, k in items) <= 512
+        for x, k in items:
+            held[x] += times * k
+    assert held == counts and sum(m for m, _ in packing.best_fit(counts, 512)) == 5
+    assert sum(times for times, _ in made) == packing.waste_bound(counts, 512) == 4
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_bin_completion_finds_the_least_bins(seed):
     rng = random.Random(seed)
