@@ -4,7 +4,7 @@ The phrases are all windows of 13 consecutive words of an item (an item of fewer
 of one partition's documents. Its words are numbered by the benchmark's vocabulary; other words, and stretches too
 short for any phrase, can't be part of an occurrence and become separators, so the index holds what could match. All
 phrases are searched backwards at once through wavelet-matrix ranks, their places are found from sampled suffix
-positions, compared with the text word by word, and merged into removal spans.
+positions and merged into removal spans. Words are numbered by their bytes, so every match is exact.
 
 The benchmark is read by the driver only while it is within `max_bytes`; a larger one is searched in blocks of
 items, and the spans of the blocks are merged by document.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import cut, cut_table
 from .fm_index import FmIndex
-from .words import ALNUM, LOWER, Words, slices, utf8
+from .words import ALNUM, Words, slices, utf8
 
 WINDOW = 13
 SHARD_BYTES = 1 << 20
@@ -45,12 +45,8 @@ class Phrases:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         data, offsets = utf8(pa.array([t for _, t in items], pa.large_string()))
         words = Words(data, offsets, ALNUM)
-        hashes = words.hashes()
-        self.keys, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-        lower = LOWER[data].tobytes()
-        self.words = [lower[words.starts[i] : words.ends[i]] for i in first]
-        if len(set(self.words)) != len({lower[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())}):
-            raise ValueError("two benchmark words share a hash")
+        number, vocabulary = words.distinct()
+        self.symbols = {w: i for i, w in enumerate(vocabulary, 1)}
         number = number + 1
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for (name, _), a, b in zip(items, words.first.tolist(), words.first[1:].tolist()):
@@ -72,9 +68,9 @@ class Phrases:
         empty: list = [(int(c), 0, [], [], []) for c in counts]
         if not self.groups or not len(words):
             return empty
-        hashes = words.hashes()
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        known = self.keys[at] == hashes
+        number, vocabulary = words.distinct()
+        symbol = np.fromiter((self.symbols.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))[number]
+        known = symbol > 0
         head = np.zeros(len(words) + 1, bool)
         head[words.first] = True
         head = head[:-1]
@@ -88,10 +84,9 @@ class Phrases:
         sizes = ends - begins + 1
         stop = np.cumsum(sizes)
         word_at = np.repeat(begins - (stop - sizes), sizes) + np.arange(stop[-1])
-        symbols = at[np.minimum(word_at, len(at) - 1)] + 1
+        symbols = symbol[np.minimum(word_at, len(symbol) - 1)]
         symbols[stop - 1] = 0
-        index = FmIndex(symbols, len(self.keys))
-        lower = LOWER[data].tobytes()
+        index = FmIndex(symbols, len(self.symbols))
         cover = np.zeros(len(words) + 1, np.int32)
         items: dict[int, set[str]] = defaultdict(set)
         row_of = words.rows()
@@ -101,12 +96,11 @@ class Phrases:
             many = (high - low)[hit]
             rows = np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             places = word_at[index.locate(rows)]
-            for p, place in zip(np.repeat(hit, many).tolist(), places.tolist()):
-                a, b = words.starts[place : place + length].tolist(), words.ends[place : place + length].tolist()
-                if all(lower[x:y] == self.words[s - 1] for x, y, s in zip(a, b, phrases[p].tolist())):
-                    cover[place] += 1
-                    cover[place + length] -= 1
-                    items[int(row_of[place])].update(owners[p])
+            np.add.at(cover, places, 1)
+            np.add.at(cover, places + length, -1)
+            rows = row_of[places]
+            for key in np.unique(rows * len(phrases) + np.repeat(hit, many)).tolist():
+                items[key // len(phrases)].update(owners[key % len(phrases)])
         hit = np.cumsum(cover[:-1]) > 0
         # spans end with their document: occurrences of neighbours in the array are cut at its first word
         opens = np.flatnonzero(hit & (head | ~np.append(False, hit[:-1])))

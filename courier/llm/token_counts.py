@@ -3,7 +3,8 @@
 The pre-tokens of a batch lie in one ragged numpy array of symbols. In each round every sequence finds its own
 lowest-rank pair and all sequences apply theirs at the same time, from left to right; sequences without a pair drop
 out. The symbols that survive are counted. Each distinct piece of text between white space is merged once per batch,
-and a bounded memory of such pieces spares later batches the work; it changes no count.
+and a bounded memory of such pieces spares later batches the work. Pieces are told apart by their bytes, so the
+memory changes no count.
 
 The vocabulary is read from a tokenizer file (BPE with word ends). Nulls: a null text is empty and has 0 bytes and 0
 tokens; a null id keeps its row. Equal rows each get a row, an empty table gives an empty one, and columns other
@@ -31,8 +32,8 @@ UNUSUAL = regex.compile(r"[^\x00-\x7f\p{L}]")
 KINDS = np.full(256, 3, np.uint8)  # 0: space, 1: letter, 2: digit, 3: other
 KINDS[0x20], KINDS[0x30:0x3A], KINDS[0x61:0x7B], KINDS[0x80:] = 0, 2, 1, 1
 LOWER_NONE = np.arange(256, dtype=np.uint8)
-#: Pieces of text that a Python worker remembers.
-MEMORY = 600_000
+#: Pieces of text that a Python worker remembers, and their bytes.
+MEMORY, MEMORY_BYTES = 600_000, 16 << 20
 LIMIT = 2048
 
 
@@ -60,7 +61,9 @@ class RankMerger:
         left, right = zip(*(m if isinstance(m, list) else m.split(" ") for m in model["merges"]))
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in zip(left, right)], np.int64)
         made = np.array([vocab[a + b] for a, b in zip(left, right)], np.int64)
-        size = 1 << 17
+        if max(vocab.values()) >= 1 << 20:
+            raise ValueError("token ids beyond 2^20 aren't supported")
+        size = 1 << max(10, (2 * len(keys)).bit_length())
         self.slot_mask = size - 1
         self.slot_key, self.slot_rank = np.full(size, -1, np.int64), np.zeros(size, np.int32)
         todo = np.arange(len(keys))
@@ -128,7 +131,7 @@ class RankMerger:
             rank[fresh] = self.ranks(symbols[fresh], symbols[fresh + 1])
         symbols, owner = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(owner, kind="stable")
-        return symbols[order].astype(np.uint16), owner[order]
+        return symbols[order].astype(np.uint32), owner[order]
 
     def encode(self, raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
         """n pieces with a space after each -> token ids, and the end of each piece among them."""
@@ -173,14 +176,14 @@ class RankMerger:
                     parts.append(text)
         saved, self.marks = self.marks, ()
         try:
-            ids, ends = self.encode("".join(p + " " for p in parts).encode("utf-8"), len(parts)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+            ids, ends = self.encode("".join(p + " " for p in parts).encode("utf-8"), len(parts)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         finally:
             self.marks = saved
         heads = np.append(0, ends)
         out, sizes = [], np.zeros(len(pieces), np.int64)
         for i, part, mark in kinds:
             own = ids[heads[part] : heads[part + 1]] if part is not None else ids[:0]
-            out += [own] if mark is None else [own, np.array([mark], np.uint16)]
+            out += [own] if mark is None else [own, np.array([mark], np.uint32)]
             sizes[i] += len(own) + (mark is not None)
         return np.concatenate(out), np.cumsum(sizes)
 
@@ -192,43 +195,38 @@ def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 class Encoder:
-    """Token ids of whole text columns, with a bounded memory of pieces by their 64-bit hash."""
+    """Token ids of whole text columns, with a bounded memory of pieces, each known by its bytes."""
 
     def __init__(self, path: str):
         self.merger = RankMerger(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
-
-    def _learn(self, words: Words, keys: np.ndarray, which: np.ndarray) -> None:
-        size = words.ends[which] - words.starts[which] + 1
-        raw = gather(np.append(words.data, np.uint8(0x20)), words.starts[which], size)
-        raw[np.cumsum(size) - 1] = 0x20
-        ids, ends = self.merger.encode(raw.tobytes(), len(which))
-        sizes = np.diff(ends, prepend=0)
-        at = np.searchsorted(self.keys, keys)
-        self.starts = np.insert(self.starts, at, ends - sizes + len(self.ids))
-        self.sizes = np.insert(self.sizes, at, sizes)
-        self.keys = np.insert(self.keys, at, keys)
+        self.number: dict[bytes, int] = {}
+        self.held, self.ends, self.ids = 0, np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        ids, ends = self.merger.encode(b"".join(p + b" " for p in pieces), len(pieces))
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+        self.held += sum(map(len, pieces))
+        self.ends = np.concatenate([self.ends, ends + len(self.ids)])
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and the n + 1 offsets of the rows among them."""
         data, offsets = utf8(column)
         words = Words(data, offsets, NOT_SPACE)
-        keys, first, of = np.unique(words.hashes(LOWER_NONE), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if len(self.keys) + new.sum() > MEMORY:
+        of, pieces = words.distinct(LOWER_NONE)
+        new = [p for p in pieces if p not in self.number]
+        if len(self.number) + len(new) > MEMORY or self.held > MEMORY_BYTES:
             self._forget()
-            new[:] = True
-        if new.any():
-            self._learn(words, keys[new], first[new])
-        at = np.searchsorted(self.keys, keys)
-        sizes = self.sizes[at][of]
+            new = pieces
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))[of]
+        sizes = self.ends[at + 1] - self.ends[at]
         ends = np.append(0, np.cumsum(sizes))
-        return gather(self.ids, self.starts[at][of], sizes), ends[words.first]
+        return gather(self.ids, self.ends[at], sizes), ends[words.first]
 
 
 _loaded: dict[str, Encoder] = {}

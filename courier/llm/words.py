@@ -1,4 +1,4 @@
-"""Words of whole Arrow text batches as numpy arrays: positions, rows and 64-bit hashes, with no Python per word."""
+"""Words of whole Arrow text batches as numpy arrays: positions, rows, exact numbers and hashes, with no Python per word."""
 
 from __future__ import annotations
 
@@ -12,10 +12,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
+BASE = np.uint64(0x9E3779B97F4A7C55)
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-BASE = np.uint64(0x9E3779B97F4A7C55)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,20 +41,6 @@ def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, n + 1 at least; a worker keeps one pair of tables, as long as it has needed."""
-    if len(_tables[0]) <= n:
-        size = 1 << max(16, (n + 1).bit_length())
-        for i, base in enumerate((BASE, BASE_INVERSE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _tables[i] = np.cumprod(out, dtype=np.uint64)
-    return _tables
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x7FB5D329728EA185)
@@ -83,12 +68,27 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def distinct(self, letters: np.ndarray = LOWER) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word, and the distinct words by number. Words are one if their bytes are, by default with A-Z in lower case."""
+        raw = letters[self.data[self.inside]]
+        ends = np.append(0, np.cumsum(self.ends - self.starts)).astype(np.int64)
+        array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        found = array.dictionary_encode()
+        _, ends, raw = found.dictionary.buffers()
+        ends, raw = np.frombuffer(ends, np.int64)[: len(found.dictionary) + 1].tolist(), raw.to_pybytes() if raw else b""
+        return found.indices.to_numpy(), [raw[a:b] for a, b in zip(ends, ends[1:])]
+
     def hashes(self, letters: np.ndarray = LOWER) -> np.ndarray:
-        """A 64-bit hash of each word, by default with A-Z in lower case; equal words have equal hashes."""
-        up, down = powers(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((letters[self.data].astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        """A 64-bit hash of each word: for features only, as different words may share one."""
+        size = self.ends - self.starts
+        stop = np.cumsum(size)
+        power = np.full(int(size.max(initial=0)) + 1, BASE, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power, dtype=np.uint64)
+        raw = letters[self.data[self.inside]].astype(np.uint64) + np.uint64(1)
+        raw *= power[np.arange(len(raw)) - np.repeat(stop - size, size)]
+        total = np.append(np.uint64(0), np.cumsum(raw, dtype=np.uint64))
+        return mix(total[stop] - total[stop - size])
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

@@ -162,6 +162,38 @@ def test_token_ids_are_those_of_the_library():
             assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word of 2^n letters and its complement: polynomial hashes modulo 2^64 don't tell them apart from n = 10 on."""
+    bits = [i.bit_count() % 2 for i in range(1 << n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n,a,b", [(10, "a", "b"), (11, "x", "7"), (12, "é", "q")])
+def test_words_are_told_apart_by_their_bytes(n, a, b):
+    library, one, two = fresh_tokenizer(), *thue_morse(n, a, b)
+    want = [library.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    together, apart = token_counts.Encoder(path()), token_counts.Encoder(path())
+    ids, ends = together.encode(pa.array([one, two]))
+    assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:])] == want
+    assert [apart.encode(pa.array([t]))[0].tolist() for t in (one, two)] == want
+
+
+def test_decontamination_tells_words_apart_by_their_bytes():
+    one, two = thue_morse(10)
+    found = decontaminate.Phrases([("1", f"x {one}"), ("2", f"{two} y")]).scan(pa.array([f"x {one} y", f"x {two} y"]))
+    assert [(n, hit, items) for n, hit, items, _, _ in found] == [(3, 2, ["1"]), (3, 2, ["2"])]
+
+
+def test_a_forgetful_encoder_gives_the_same_ids(monkeypatch):
+    rng, texts = random.Random(4), []
+    for _ in range(40):
+        texts.append(" ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30))))
+    want = [token_counts.Encoder(path()).encode(pa.array([t]))[0].tolist() for t in texts]
+    monkeypatch.setattr(token_counts, "MEMORY", 50)
+    own = token_counts.Encoder(path())
+    assert [own.encode(pa.array([t]))[0].tolist() for t in texts] == want and len(own.number) <= 80
+
+
 def test_long_runs_of_one_symbol():
     library, own = fresh_tokenizer(), token_counts.encoder(path())
     for text in ("a" * 9000, "ab" * 5000, "theatin" * 2000):
