@@ -138,6 +138,15 @@ def test_line_templates(spark, docs):
     assert kept[100].startswith("own line alpha\nPosted") and kept[103] == "own line delta\n" and kept[202] == "" and kept[200] != ""
 
 
+def test_lines_that_share_a_hash_keep_their_text(spark, monkeypatch):
+    texts = ["one of a kind\nshared", "no other line\nshared", "nothing alike here", "shared", "shared, too"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(line_templates, "same_line", lambda clean: F.lit(7).cast("long"))
+    for grouped in (False, True):
+        got = line_templates.drop_templates(table, grouped=grouped)
+        assert sorted(rows_of(got)) == sorted(brute_lines(rows_of(table))) == [(0, texts[0]), (1, texts[1][:-7]), (2, texts[2]), (3, ""), (4, texts[4])]
+
+
 def test_line_templates_of_an_empty_table(docs):
     assert line_templates.drop_templates(docs.limit(0)).count() == 0
 
