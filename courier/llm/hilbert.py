@@ -1,20 +1,20 @@
 """Shards along a Hilbert curve over several metadata dimensions, with DataFrame functions only.
 
-Each dimension is quantised to 2^bits codes by quantiles over all rows that keep its order (strings by the seven bytes
-after the prefix that all of them share), so close codes mean close values and a file's minimum and maximum prune.
-The curve's index of a cell orders the rows, ties are ordered by the text's hash (copies stay together) and the id,
-and the order is cut into runs of equally many rows.
-
-Nulls: null metadata counts as the empty string, or as a size of no bytes; a null text has 0 bytes, and size 1. Equal
-rows are interchangeable and each has a place. An empty table gives an empty result. Other columns don't matter to
-`place` and pass through `write`.
+Each dimension is quantised to 2^bits codes by quantiles over all rows that keep its order (strings by the six bytes
+after the prefix that all but the empty ones share), so close codes mean close values and a file's minimum and maximum
+prune. The curve's index of a cell orders the rows, ties are ordered by the text's hash (copies stay together) and the
+id, and the order is cut into runs of equally many rows. `write` cuts the files by the same ranks as `place`.
+
+Nulls: null metadata counts as the empty string, or as a size of no bytes; empty strings come first. A null text has 0
+bytes, and size 1. Equal rows are interchangeable and each has a place. An empty table gives an empty result. Other
+columns don't matter to `place` and pass through `write`, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, numbers, ordered_rank
+from .common import cut, cut_table, numbers, ordered_rank
 
 SHARDS = 16
 BITS = 5
@@ -57,9 +57,9 @@ def cells(dimensions: int, bits: int) -> list[int]:
 
 
 def order_key(column: Column, prefix: int) -> Column:
-    """Seven bytes of a string after a shared prefix, as a number that keeps their order."""
-    tail = F.substring(F.encode(F.coalesce(column, F.lit("")), "UTF-8"), prefix + 1, 7)
-    return F.conv(F.rpad(F.hex(tail), 14, "0"), 16, 10).cast("long")
+    """Six bytes of a string after a shared prefix, as a number that keeps their order and is exact as a double (quantiles are doubles); the empty string is below all."""
+    tail = F.substring(F.encode(column, "UTF-8"), prefix + 1, 6)
+    return F.when(F.coalesce(column, F.lit("")) == "", -1).otherwise(F.conv(F.rpad(F.hex(tail), 12, "0"), 16, 10).cast("long"))
 
 
 def quantised(rows: DataFrame, keys: list[str], bits: int) -> list[Column]:
@@ -80,7 +80,8 @@ def with_curve(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits:
         raise ValueError("dimensions x bits may be 15 at most")
     kinds = dict(rows.dtypes)
     text = [d for d in dimensions if kinds[d] == "string"]
-    ends = rows.agg(*[f(d).alias(f"{f.__name__}_{d}") for d in text for f in (F.min, F.max)] or [F.count("*").alias("n")]).first()
+    filled = lambda d: F.when(F.col(d) != "", F.col(d))
+    ends = rows.agg(*[f(filled(d)).alias(f"{f.__name__}_{d}") for d in text for f in (F.min, F.max)] or [F.count("*").alias("n")]).first()
     keyed = rows
     for i, d in enumerate(dimensions):
         if d in text:
@@ -96,6 +97,12 @@ def with_curve(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits:
     return keyed.withColumn("curve", F.element_at(numbers(cells(len(dimensions), bits)), cell)).drop(*[f"__k{i}" for i in range(len(dimensions))])
 
 
+def runs(n: int, shards: int) -> tuple[Column, Column]:
+    """Shard and slot of a rank among n: runs with counts at most one apart."""
+    shard = F.expr(f"(rank * {shards}L) div {max(n, 1)}L")
+    return shard.cast("int"), F.col("rank") - F.expr(f"((rank * {shards}L) div {max(n, 1)}L * {max(n, 1)}L + {shards - 1}L) div {shards}L")
+
+
 def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): runs of the curve with counts at most one apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -106,13 +113,25 @@ def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         )
     )
     ordered, n = ordered_rank(with_curve(rows).select("doc_id", "size", "text_crc32", "copy", "curve"), ["curve", "copy", "doc_id"])
-    shard = F.expr(f"(rank * {shards}L) div {max(n, 1)}L")
-    first = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}L) div {shards}L")
-    out = ordered.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    shard, slot = runs(n, shards)
+    return ordered.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id") -> None:
-    """All columns in `shards` or fewer Parquet files along the curve, each sorted by it."""
-    placed = with_curve(docs, dimensions, BITS).withColumnRenamed("curve", "__curve")
-    placed.repartitionByRange(shards, "__curve", id_col).sortWithinPartitions("__curve", id_col).drop("__curve").write.mode("overwrite").parquet(path)
+def write(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> None:
+    """All columns in one Parquet file for each shard of `place`, in the order of its slots; shards without rows have none.
+
+    The ranks are looked up by what they order: equal rows of that key follow one another on the curve, and each takes the
+    next rank. The texts move once, by the shuffle to their files.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names))
+    text = F.coalesce(F.col(own[text_col]).cast("string"), F.lit(""))
+    rows = docs.toDF(*names).select(
+        F.struct(*names).alias("row"), F.col(own[id_col]).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("copy"),
+        F.coalesce(F.col(own[lang]).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(own[source]).cast("string"), F.lit("")).alias("source"),
+    )
+    keyed = cut_table(rows.withColumn("number", F.monotonically_increasing_id()))
+    ordered, n = ordered_rank(with_curve(keyed.drop("row")).select("number", "doc_id", "copy", "curve"), ["curve", "copy", "doc_id"])
+    shard, _ = runs(n, shards)
+    placed = keyed.select("number", "row").join(ordered.select("number", "rank", shard.alias("shard")), "number")
+    placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("rank").select("row.*").toDF(*docs.columns).write.mode("overwrite").parquet(path)

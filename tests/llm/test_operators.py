@@ -531,10 +531,61 @@ def test_shards(docs):
     assert hilbert.place(docs.limit(0)).count() == 0 and len({r["shard"] for r in hilbert.place(docs.limit(3)).collect()}) == 3
 
 
-def test_written_shards(docs, tmp_path):
-    hilbert.write(docs, str(tmp_path / "s"), 4)
-    back = docs.sparkSession.read.parquet(str(tmp_path / "s"))
-    assert back.count() == docs.count() and back.columns == docs.columns
+def curve_order(rows):
+    """(lang, source, size, copy hash, id) of rows in the order of the curve, from quantiles over all of them."""
+    def codes(values):
+        cut = sorted(values)
+        limits = [cut[max(0, -(-i * len(cut) // 32) - 1)] for i in range(1, 32)]
+        return [sum(t < v for t in limits) for v in values]
+
+    columns = [codes([r[i] for r in rows]) for i in range(3)]
+    return [r for _, r in sorted(zip((hilbert.curve_index(c, 5) for c in zip(*columns)), rows), key=lambda x: (x[0], x[1][3], x[1][4]))]
+
+
+def metadata(spark):
+    rng = random.Random(12)
+    rows = [(i, "word " * rng.randint(0, 40), rng.choice(["de", "en", "fr", "ja"]), f"https://site{rng.randrange(20):02}.example", "x", i) for i in range(400)]
+    return spark.createDataFrame([*rows, (None, None, None, None, "y", None), rows[0], rows[0]], "doc_id long, text string, lang string, source string, rank string, shard long")
+
+
+def test_shards_follow_the_curve(spark):
+    docs = metadata(spark)
+    got = {(r["shard"], r["slot"]): (r["doc_id"], r["size"]) for r in hilbert.place(docs).collect()}
+    key = lambda r: (r["lang"] or "", r["source"] or "", len((r["text"] or "").encode()) + 1, xxhash.xxh64_intdigest((r["text"] or "").encode(), 42), r["doc_id"])
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    want = curve_order([(*(k := key(r))[:3], signed(k[3]), -1 if k[4] is None else k[4]) for r in docs.collect()])
+    assert [(-1 if i is None else i, n) for _, (i, n) in sorted(got.items())] == [(r[4], r[2]) for r in want]
+
+
+def test_a_null_source_takes_no_dimension_away(spark):
+    rows = [(i, "t", "en", f"https://site{i % 20:02}.example") for i in range(200)]
+    cells = lambda df: hilbert.with_curve(df, ("source",), 5).select("curve").distinct().count()
+    kind = "doc_id long, text string, lang string, source string"
+    assert cells(spark.createDataFrame(rows, kind)) == 20 and cells(spark.createDataFrame([*rows, (1000, "t", "en", None), (1001, "t", "en", "")], kind).fillna("")) == 20  # the few empty ones are in the first
+
+
+def test_written_shards(spark, docs, tmp_path):
+    table = metadata(spark)
+    hilbert.write(table, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns == table.columns and sorted(map(str, back.collect())) == sorted(map(str, table.collect()))
+    # the files are the shards of place(), in the order of their slots
+    files = [r.asDict() for r in back.select("doc_id", F.input_file_name().alias("f"), F.col("_metadata.row_index").alias("n")).collect()]
+    own = collections.defaultdict(list)
+    for r in sorted(files, key=lambda r: (r["f"], r["n"])):
+        own[r["f"]].append(str(r["doc_id"]))
+    want = collections.defaultdict(list)
+    for r in sorted(hilbert.place(table).collect(), key=lambda r: (r["shard"], r["slot"])):
+        want[r["shard"]].append(str(r["doc_id"]))
+    assert sorted(own.values()) == sorted(want.values()) and len(own) == 16
+    # a file's smallest and largest values rule most files out
+    ends = back.groupBy(F.input_file_name()).agg(F.min("lang").alias("a"), F.max("lang").alias("b"), F.min("source").alias("c"), F.max("source").alias("d")).collect()
+    assert sum(r["a"] <= "ja" <= r["b"] and r["c"] <= "https://site19.example" <= r["d"] for r in ends) <= 4
+    hilbert.write(docs, str(tmp_path / "d"), 4)
+    again = spark.read.parquet(str(tmp_path / "d"))
+    assert again.columns == docs.columns and sorted(map(str, again.collect())) == sorted(map(str, docs.collect()))
+    hilbert.write(docs.limit(0), str(tmp_path / "e"))
+    assert spark.read.schema(docs.schema).parquet(str(tmp_path / "e")).count() == 0
 
 
 # 10
