@@ -24,6 +24,8 @@ K = 5
 QUERY_BLOCK = 8192
 #: Candidates of a block: enough blocks for a thousand tasks, within these sizes.
 LEAST_BLOCK, MOST_BLOCK = 1024, 65536
+#: Bytes of the longest vectors that either side of a tile holds at most, as doubles; a tile takes some four times that.
+BLOCK_BYTES = 32 << 20
 #: Pairs that one product holds at once.
 PAIRS = 1 << 21
 
@@ -37,7 +39,11 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of row pairs in double precision, summed in the order of the components."""
+    """Cosines of row pairs in double precision, summed in the order of the components.
+
+    Rows are scaled by powers of two first: this changes no digit, and squares neither overflow nor vanish.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]) for x in (a, b))
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for i in range(a.shape[1]):
         dot += a[:, i] * b[:, i]
@@ -89,9 +95,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "v
         return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("v"))
 
     c, q = usable(vectors), usable(queries).dropDuplicates(["id", "v"])
-    n, m = c.count(), q.count()
-    block = min(MOST_BLOCK, max(LEAST_BLOCK, n // 1000))
-    rows, cols = max(1, -(-m // query_block)), max(1, -(-n // block))
+    (n, wide), m = c.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first(), q.count()
+    most = max(1, BLOCK_BYTES // (8 * wide))
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, n // 1000), most)
+    rows, cols = max(1, -(-m // min(query_block, most))), max(1, -(-n // block))
     deal = lambda parts: F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = q.select("dim", deal(rows).alias("r"), every(cols).alias("c"), F.lit(True).alias("query"), "id", "v")

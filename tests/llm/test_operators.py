@@ -87,6 +87,55 @@ def test_license_model_on_unseen_variants():
     assert hit / n > 0.9
 
 
+def plain_license_scan(text, model):
+    """As license_scan.scan(), with plain Python: (paragraph, family, probability, match, confirmed)."""
+    known, table = set(model.words) | set(model.places) | {p for _, own in model.notices for p in own}, dict(zip(model.places, model.weights))
+    lines = (text or "").lower().split("\n")
+    worded = [i for i, line in enumerate(lines) if re.search("[a-z0-9]", line)]
+    spans = [(i, i) for i in worded]
+    runs, a = [], None
+    for i in worded:
+        if i - 1 not in worded:
+            a = i
+        if i + 1 not in worded and i > a:
+            runs.append((a, i))
+    lone, out = [], []
+    for a, b in spans + runs:
+        own = license_scan.words(" ".join(lines[a : b + 1]))
+        # a pair counts if both of its words are known
+        x = {license_scan.slot(w) for w in own} | {license_scan.slot(f"{v} {w}") for v, w in zip(own, own[1:]) if {license_scan.slot(v), license_scan.slot(w)} <= known}
+        x &= set(table) | {p for _, o in model.notices for p in o}
+        if len(x) < 2:
+            continue
+        z = [(c + sum(table[p][k] for p in x if p in table)) / model.temperature for k, c in enumerate(model.bias)]
+        best = z.index(max(z))
+        probability = 1 / sum(np.exp(v - max(z)) for v in z)
+        if best == len(z) - 1 or probability < license_scan.PROBABILITY:
+            continue
+        match = max(len(x & set(o)) / len(o) for f, o in model.notices if f == best)
+        found = (a, model.families[best], round(probability, 9), round(match, 9), match >= license_scan.CONFIRM)
+        if a == b:
+            lone.append(found)
+        elif found[4] and not any(f[4] and f[1] == found[1] and a <= f[0] <= b for f in lone):
+            out.append(found)
+    return len(worded), sorted(lone + out)
+
+
+def test_license_scan_against_plain_python(spark, docs):
+    model, rng = license_scan.train(), random.Random(6)
+    texts = [t for _, t in rows_of(docs)]
+    for family, notices in license_scan.NOTICES.items():
+        for notice in notices:
+            w = notice.split()
+            cut = rng.randrange(1, len(w)) if len(w) > 1 else 1
+            texts += [f"intro\n\n{notice}\nmore prose of the day", " ".join(w[:cut]) + "\n * " + " ".join(w[cut:]), " ".join(rng.sample(w, len(w))), notice + "\n" + rng.choice(license_scan.OTHERS)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan(table).collect():
+        n, want = plain_license_scan(texts[r["doc_id"]], model)
+        assert r["n_paragraphs"] == n
+        assert sorted((p["paragraph"], p["family"], round(p["probability"], 9), round(p["match"], 9), p["confirmed"]) for p in r["found"]) == want, texts[r["doc_id"]]
+
+
 def test_license_places_match_the_engine(spark):
     grams = ["mit license", "a", "é ü", ""]
     got = spark.createDataFrame([(g,) for g in grams], "g string").select(license_scan.place_of(F.col("g"), 16)).collect()
@@ -501,6 +550,21 @@ def test_few_candidates(spark):
     assert [(r["query_id"], r["vec_id"]) for r in nearest.nearest(table.where("vec_id = 0"), table).collect()] == [(0, 1)]
 
 
+def test_nearest_of_huge_tiny_and_wide_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, (v * (1e200, 1.0, 1e-200)[i % 3]).tolist(), i, i, "x") for i, v in enumerate(base)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, r long, score string")
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    for block in (nearest.BLOCK_BYTES, 10 * 16 * 8):
+        monkeypatch.setattr(nearest, "BLOCK_BYTES", block)
+        got = nearest.nearest(table.where("vec_id % 50 = 0"), table).orderBy("query_id", "rank").collect()
+        for q in (0, 50):
+            own = [r for r in got if r["query_id"] == q]
+            assert [r["vec_id"] for r in own] == [i for i in np.argsort(-unit @ unit[q]) if i != q][:5]
+            assert np.allclose([r["score"] for r in own], [unit[r["vec_id"]] @ unit[q] for r in own])
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(4)
     q, c = rng.normal(size=(20, 64)), rng.normal(size=(4000, 64))
@@ -616,6 +680,76 @@ def test_toxicity_learns_and_holds_out(spark, words):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["score"] < 0.7}
 
 
+def plain_features(text, bits=toxicity.BITS):
+    """Words, pairs and skip-pairs, hashed one by one: a polynomial of the bytes, mixed."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0x7FB5D329728EA185 & top
+        x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D & top
+        return x ^ x >> 33
+
+    h = []
+    for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), w)
+        h.append(mix(sum((b + 1) * pow(0x9E3779B97F4A7C55, i, 1 << 64) for i, b in enumerate(w)) & top))
+    pairs = [mix((a * int(toxicity.PAIR) + b) & top) for a, b in zip(h, h[1:])]
+    skips = [mix((a * int(toxicity.SKIP) + b) & top) for a, b in zip(h, h[2:])]
+    return {x >> 64 - bits for x in [*h, *pairs, *skips]}
+
+
+def test_toxicity_features_and_scores_against_plain_python(docs):
+    texts = [t for _, t in rows_of(docs)] + ["Über-Größe 3x3 a_b a_b", "a b a b"]
+    found, row = toxicity.features(pa.array(texts))
+    own = collections.defaultdict(set)
+    for r, f in zip(row.tolist(), found.tolist()):
+        own[r].add(f)
+    assert all(own[i] == plain_features(t) for i, t in enumerate(texts))
+    rng = random.Random(1)
+    places = np.array(sorted(rng.sample(sorted(set(found.tolist())), 200)))
+    model = toxicity.Model(places, np.array([rng.uniform(-1, 1) for _ in places]), -0.3)
+    weight = dict(zip(places.tolist(), model.weights.tolist()))
+    want = [1 / (1 + np.exp(0.3 - sum(weight.get(f, 0) for f in plain_features(t)))) for t in texts]
+    assert np.allclose(model.score(pa.array(texts)), want)
+
+
+def test_ftrl_against_plain_python():
+    rng = random.Random(2)
+    rows = [(y, sorted(rng.sample(range(40), 6) + [40 + y] * rng.randint(0, 1))) for y in (rng.random() < 0.3 for _ in range(200))]
+    rows = [(int(y), x) for y, x in rows]
+    alpha, beta, l1, l2 = 0.8, 1.2, 0.4, 0.7
+    z, n, bias, bias_n = collections.Counter(), collections.Counter(), 0.0, 0.0
+    toxic = sum(y for y, _ in rows)
+    heavy = ((len(rows) - toxic) / toxic) ** 0.5
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for y, x in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-(bias + sum(w.values()))))
+            g = (p - y) * (heavy if y else 1.0)
+            for i in x:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + bias_n**0.5)
+    model = toxicity.ftrl([(y, np.array(x)) for y, x in rows], 6, 3, alpha, beta, l1, l2)
+    want = {i: weight(i) for i in range(64) if weight(i)}
+    assert model.places.tolist() == sorted(want) and np.allclose(model.weights, [want[i] for i in sorted(want)]) and abs(model.bias - bias) < 1e-9
+    assert 41 in want and want[41] > 0 > want.get(40, -1)
+
+
+def test_labels_with_columns_of_documents(spark, words):
+    docs = spark.createDataFrame([(i, words(10) + (" vile" if i % 2 else " kind"), "t", 0) for i in range(120)], "doc_id long, text string, toxic string, y int")
+    labels = spark.createDataFrame([(i, i % 2, "other text", 3, i) for i in range(120)], "doc_id long, toxic int, text string, y int, __id long")
+    plain = labels.select("doc_id", "toxic")
+    score = lambda own: [r["score"] for r in toxicity.score(docs, toxicity.train(docs, own)).orderBy("doc_id").collect()]
+    assert score(labels) == score(plain) and max(score(plain)) > 0.5
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.5}
