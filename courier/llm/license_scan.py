@@ -37,21 +37,30 @@ UNKNOWN = "unknown"
 
 # Notices by which works name their licence, by family.
 NOTICES: dict[str, list[str]] = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "apache": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "artistic": ["you may redistribute it and/or modify it under the terms of the Artistic License 2.0", "Released under the Artistic License.", "SPDX-License-Identifier: Artistic-2.0"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "Use, modification and distribution are subject to the Boost Software License", "SPDX-License-Identifier: BSL-1.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license"],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0."],
-    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0.", "SPDX-License-Identifier: CC0-1.0"],
+    "cddl": ["The contents of this file are subject to the terms of the Common Development and Distribution License", "Licensed under the CDDL, version 1.1.", "SPDX-License-Identifier: CDDL-1.1"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License.", "SPDX-License-Identifier: EPL-2.0"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU GPL v2."],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0"],
+    "odbl": ["This database is made available under the Open Database License", "Licensed under the Open Data Commons Open Database License (ODbL).", "SPDX-License-Identifier: ODbL-1.0"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1.", "This license is available with a FAQ at https://openfontlicense.org", "SPDX-License-Identifier: OFL-1.1"],
+    "psf": ["Licensed under the Python Software Foundation License Version 2.", "Licensed to PSF under a Contributor Agreement.", "SPDX-License-Identifier: PSF-2.0"],
     "reserved": ["All rights reserved.", "Copyright 2020 by the author. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher"],
-    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "For more information, please refer to https://unlicense.org", "SPDX-License-Identifier: Unlicense"],
+    "wtfpl": ["Released under the WTFPL, version 2.", "Licensed under the terms of the WTFPL.", "SPDX-License-Identifier: WTFPL"],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Released under the zlib License.", "SPDX-License-Identifier: Zlib"],
 }
 # Paragraphs that share words with notices and are none.
 OTHERS = [
