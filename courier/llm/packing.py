@@ -1,10 +1,12 @@
 """Best-fit packing of token pieces into fixed-length sequences, by bin completion.
 
 Packing needs only how many pieces there are of each length, at most `capacity` numbers however large the corpus is.
-The driver solves that bounded problem: best-fit decreasing gives the first incumbent and waste bounds the optimum;
-while they differ, a branch-and-bound search completes bins around the largest length left, trying the undominated
-fillings from the least waste on, and drops branches whose waste rules out a better packing. What is found are
-patterns, each with the number of bins that take it. Pieces then get their places in parallel, from their rank among
+The driver solves that bounded problem: best-fit decreasing gives the first incumbent and waste bounds the optimum.
+While they differ, bins are completed around the largest length left: first by the fullest filling of all, which a
+dynamic programme over the lengths finds, with ties and near ties for the longer pieces; then by a branch-and-bound
+search that tries undominated fillings from the least waste on and drops branches whose waste rules out a better
+packing. The work is bounded; `gap` tells how far a packing is from the bound, and 0 proves it the best. What is found
+are patterns, each with the number of bins that take it. Pieces then get their places in parallel, from their rank among
 the pieces of their length; no piece is shuffled for it unless the table of ranks is too large to broadcast.
 
 Nulls: a null text is empty and packs as its end token alone; a null id keeps its pieces. Rows that repeat an id each
@@ -29,8 +31,10 @@ from .words import slices
 
 CAPACITY = 2048
 END = 0
-#: Search nodes; beyond them the incumbent stands.
-NODES = 3000
+#: Search nodes, and steps of the dynamic programme (lengths times room); beyond them the incumbent stands.
+NODES, STEPS = 3000, 1 << 30
+#: How much a filling's longer pieces count for: the sum of (length / capacity) ^ power is greatest.
+POWERS = (1.05, 1.2, 1.1, 1.4, 2.0, 3.0)
 #: Rows of the rank table (about 100 bytes each in memory) up to which it is broadcast; above, it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -73,16 +77,41 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str =
 
 
 def waste_bound(counts: dict[int, int], capacity: int) -> int:
-    """No packing has fewer bins: for each threshold, long items stand alone and the rest must fit the room they leave."""
+    """No packing has fewer bins, by the best of three families of bounds.
+
+    For a threshold, long items stand alone and the rest must fit the room they leave. For a unit, an item weighs as many
+    units as it holds, or, above half a bin, as many as it keeps others from having. For a least length, of which k go
+    into a bin at most, so many bins hold k items as the shortest items allow, and the others one less.
+    """
     lengths = np.array(sorted(counts), np.int64)
     n = np.array([counts[x] for x in lengths.tolist()], np.int64)
-    total, best = int((lengths * n).sum()), 0
-    best = -(-total // capacity)
-    for k in [0, *lengths[lengths <= capacity // 2].tolist()]:
+    best = -(-int((lengths * n).sum()) // capacity)
+    for k in lengths[lengths <= capacity // 2].tolist():
         big, middle, small = lengths > capacity - k, (lengths <= capacity - k) & (lengths > capacity / 2), (lengths >= k) & (lengths <= capacity / 2)
         room = int((n[middle] * (capacity - lengths[middle])).sum())
         rest = int((n[small] * lengths[small]).sum()) - room
         best = max(best, int(n[big].sum() + n[middle].sum()) + max(0, -(-rest // capacity)))
+    double = np.sign(2 * lengths - capacity)
+    for unit in range(1, capacity // 2 + 1):
+        most = capacity // unit
+        weight = np.where(double > 0, 2 * (most - (capacity - lengths) // unit), np.where(double < 0, 2 * (lengths // unit), most))
+        best = max(best, -(-int((weight * n).sum()) // (2 * most)))
+    ends, sums = np.append(0, np.cumsum(n)).tolist(), np.append(0, np.cumsum(lengths * n)).tolist()
+    for i, least in enumerate(lengths.tolist()):
+        if (k := capacity // least) < 2:
+            break
+
+        def shortest(m: int) -> int:
+            """The length of the m shortest of these items together."""
+            at = bisect_left(ends, ends[i] + m, i)
+            return sums[at - 1] - sums[i] + (ends[i] + m - ends[at - 1]) * int(lengths[at - 1]) if m else 0
+
+        items = ends[-1] - ends[i]
+        low, high = 0, items // k  # bins of k items: at most `low`
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shortest(k * middle) <= capacity * middle else (low, middle - 1)
+        best = max(best, -(-(items - low) // (k - 1)))
     return best
 
 
@@ -176,37 +205,100 @@ def fillings(counts: dict[int, int], room: int, width: int) -> list[tuple[int, .
     return out
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = 3) -> list[Pattern]:
+def fullest(counts: dict[int, int], room: int, capacity: int, power: float) -> tuple[tuple[int, ...], int]:
+    """The further lengths for a bin with so much room whose (length / capacity) ^ power sum highest, and the steps taken."""
+    best, taken = np.full(room + 1, -np.inf), []
+    best[0] = 0
+    for x in sorted((x for x in counts if x <= room), reverse=True):
+        n, k = min(counts[x], room // x), 1
+        while n:  # so many pieces of a length as powers of two and a rest
+            m = min(k, n)
+            n, k = n - m, 2 * k
+            now = best.copy()
+            np.maximum(now[m * x :], best[: room + 1 - m * x] + m * (x / capacity) ** power, out=now[m * x :])
+            taken.append((x, m, now > best))
+            best = now
+    at, out = int(np.argmax(best)), []
+    for x, m, better in reversed(taken):
+        if better[at]:
+            out += [x] * m
+            at -= m * x
+    return tuple(sorted(out, reverse=True)), len(taken) * (room + 1)
+
+
+def without(left: dict[int, int], items: tuple[int, ...], most: float = math.inf) -> tuple[dict[int, int], int, tuple[tuple[int, int], ...]]:
+    """What is left when bins of these items are filled as often as they go, or `most` times; how often; the pattern."""
+    use = {x: items.count(x) for x in items}
+    times = int(min(most, *(left[x] // k for x, k in use.items())))
+    rest = {x: n - times * use.get(x, 0) for x, n in left.items()}
+    return {x: n for x, n in rest.items() if n}, times, tuple(use.items())
+
+
+def one_less(counts: dict[int, int], x: int) -> dict[int, int]:
+    return {**counts, x: counts[x] - 1} if counts[x] > 1 else {y: n for y, n in counts.items() if y != x}
+
+
+def filled(counts: dict[int, int], capacity: int, power: float, steps: int) -> tuple[list[Pattern], int]:
+    """A packing by fullest fillings; when the steps are used up, the rest goes by best fit. Also the steps left."""
+    made, left = [], counts
+    while left and steps > 0:
+        largest = max(left)
+        filling, cost = fullest(one_less(left, largest), capacity - largest, capacity, power)
+        left, times, pattern = without(left, (largest, *filling))
+        made.append((times, pattern))
+        steps -= cost
+    return made + best_fit(left, capacity), steps
+
+
+def bins(patterns: list[Pattern]) -> int:
+    return sum(many for many, _ in patterns)
+
+
+def gap(patterns: list[Pattern], counts: dict[int, int], capacity: int) -> int:
+    """By how many bins a packing exceeds the bound. At 0 it is proven to be the best."""
+    return bins(patterns) - waste_bound(counts, capacity) if patterns else 0
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: int = 3, steps: int = STEPS) -> list[Pattern]:
     """Bin completion: patterns that hold all items of the given lengths, in as few bins as the search finds."""
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
         return []
     best, bound = best_fit(counts, capacity), waste_bound(counts, capacity)
-    most = sum(m for m, _ in best)
+    for power in POWERS:
+        if bins(best) > bound and steps > 0:
+            found, steps = filled(counts, capacity, power, steps)
+            best = min(best, found, key=bins)
+    most = bins(best)
     total = sum(x * n for x, n in counts.items())
     stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
     while stack and most > bound and nodes:
         nodes -= 1
-        left, made, bins, waste = stack.pop()
+        left, made, used, waste = stack.pop()
         if waste > (most - 1) * capacity - total:
             continue
         if not left:
-            best, most = made, bins
+            best, most = made, used
             continue
         largest = max(left)
+        others, room = one_less(left, largest), capacity - largest
+        found = fillings(others, room, width)
+        if steps > 0:
+            first, cost = fullest(others, room, capacity, POWERS[0])
+            steps -= cost
+            found = [first, *(f for f in found if f != first)]
         branches = []
-        for filling in fillings({**left, largest: left[largest] - 1} if left[largest] > 1 else {x: n for x, n in left.items() if x != largest}, capacity - largest, width):
-            items = (largest, *filling)
-            use = {x: items.count(x) for x in items}
-            times = min(left[x] // k for x, k in use.items())
-            rest = {x: n - times * use.get(x, 0) for x, n in left.items()}
-            rest = {x: n for x, n in rest.items() if n}
-            branches.append((rest, [*made, (times, tuple(use.items()))], bins + times, waste + times * (capacity - sum(items))))
-        rest, own, used, _ = branches[0]
+        for most_times in (math.inf, 1):  # once is tried last
+            for filling in found:
+                items = (largest, *filling)
+                rest, times, pattern = without(left, items, most_times)
+                if most_times > 1 or without(left, items)[1] > 1:
+                    branches.append((rest, [*made, (times, pattern)], used + times, waste + times * (capacity - sum(items))))
+        rest, own, so_far, _ = branches[0]
         if nodes % 16 == 0 and rest:  # best fit of what is left, as an incumbent
             tail = best_fit(rest, capacity)
-            if used + sum(m for m, _ in tail) < most:
-                best, most = own + tail, used + sum(m for m, _ in tail)
+            if so_far + bins(tail) < most:
+                best, most = own + tail, so_far + bins(tail)
         stack += branches[::-1]
     return best
 

@@ -347,6 +347,52 @@ def test_bins_of_many_short_pieces_reach_the_bound():
     assert sum(times for times, _ in made) == packing.waste_bound(counts, 512) == 4
 
 
+def held_by(patterns, capacity):
+    held = collections.Counter()
+    for times, items in patterns:
+        assert times > 0 and sum(x * k for x, k in items) <= capacity
+        for x, k in items:
+            held[x] += times * k
+    return held
+
+
+@pytest.mark.parametrize("n,low,high,most", [(400, 400, 1100, 2), (50, 400, 1100, 1), (120, 300, 900, 1), (300, 100, 1500, 1), (200, 600, 1000, 3), (300, 30, 700, 0)])
+def test_bins_of_many_lengths_come_near_the_bound(n, low, high, most):
+    for seed in range(3):
+        rng = random.Random(seed)
+        counts = collections.Counter(rng.randint(low, high) for _ in range(n))
+        made = packing.complete(counts, 2048)
+        assert held_by(made, 2048) == counts and packing.gap(made, counts, 2048) <= most <= packing.bins(packing.best_fit(counts, 2048))
+
+
+def test_no_packing_has_fewer_bins_than_the_bound():
+    rng = random.Random(6)
+    for capacity in (10, 20, 21):
+        for _ in range(60):
+            low = rng.randint(1, capacity // 2)
+            items = sorted((rng.randint(low, rng.choice((capacity // 2, capacity))) for _ in range(rng.randint(1, 9))), reverse=True)
+            assert packing.waste_bound(collections.Counter(items), capacity) <= least_bins(items, capacity)
+
+
+def test_packing_without_steps_or_nodes_is_whole():
+    rng = random.Random(3)
+    counts = collections.Counter({rng.randint(1, 2047): rng.randint(1, 10**9) for _ in range(600)})
+    for nodes, steps in ((0, 0), (5, 1), (20, 1 << 22)):
+        assert held_by(packing.complete(counts, 2048, nodes, steps=steps), 2048) == counts
+
+
+def test_the_fullest_filling_is_the_best_of_all():
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = collections.Counter(rng.randint(1, 12) for _ in range(rng.randint(1, 8)))
+        room, items = rng.randint(1, 24), list(counts.elements())
+        value = lambda own: sum((x / 24) ** 1.2 for x in own)
+        every = [[x for i, x in enumerate(items) if k >> i & 1] for k in range(1 << len(items))]
+        got, _ = packing.fullest(counts, room, 24, 1.2)
+        assert sum(got) <= room and not collections.Counter(got) - counts
+        assert abs(value(got) - max(value(own) for own in every if sum(own) <= room)) < 1e-9
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_bin_completion_finds_the_least_bins(seed):
     rng = random.Random(seed)
