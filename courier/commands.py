@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import secrets
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -65,7 +64,3 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 def fingerprint(most: int, prefix: bytes) -> str:
     return contract.Contract(most, prefix).fingerprint
-
-
-def key_id(key: bytes) -> str:
-    return hashlib.sha256(key).hexdigest()

@@ -20,14 +20,24 @@ def _bytes(value: object) -> bytes:
     return b"" if value is None else value.encode() if isinstance(value, str) else bytes(value)
 
 
-def fnv1a(values: pd.Series) -> np.ndarray:
-    """FNV-1a of each value's bytes, one byte column at a time."""
+def joined(values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values' bytes in one array, where each begins, and how long it is; nulls are empty."""
     raw = [_bytes(v) for v in values]
-    out = np.full(len(raw), FNV_OFFSET, np.uint64)
-    lengths = np.array([len(r) for r in raw], np.int64)
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def fnv1a(values: pd.Series) -> np.ndarray:
+    """FNV-1a of each value's bytes: the next byte of all values that have one, at a time."""
+    data, starts, lengths = joined(values)
+    out = np.full(len(lengths), FNV_OFFSET, np.uint64)
+    order = np.argsort(-lengths, kind="stable")
+    left = len(lengths)
     for i in range(int(lengths.max(initial=0))):
-        own = np.flatnonzero(lengths > i)
-        out[own] = (out[own] ^ np.fromiter((raw[j][i] for j in own), np.uint64, len(own))) * FNV_PRIME
+        while lengths[order[left - 1]] <= i:
+            left -= 1
+        own = order[:left]
+        out[own] = (out[own] ^ data[starts[own] + i].astype(np.uint64)) * FNV_PRIME
     return out
 
 
@@ -49,28 +59,65 @@ def _crc_table() -> np.ndarray:
 CRC_TABLE = _crc_table()
 
 
+#: Bytes of a value that one lane takes; the lanes of all values go on together.
+LANE = 256
+
+
+def _skip_tables() -> np.ndarray:
+    """What LANE zero bytes make of a checksum, for each of its four bytes."""
+    c = (np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]).astype(np.uint32)
+    for _ in range(LANE):
+        c = CRC_TABLE[c & np.uint32(0xFF)] ^ (c >> np.uint32(8))
+    return c
+
+
+SKIP = _skip_tables()
+
+
+def crc32c_values(values: pd.Series) -> np.ndarray:
+    """CRC-32C of each value. Values are cut into lanes, which are summed side by side; a checksum is linear, so that of
+    a value is put together from those of its lanes. Zeros before a value change nothing: the first lane is filled up with them."""
+    data, starts, lengths = joined(values)
+    lanes = np.maximum(1, -(-(lengths + 4) // LANE))  # with room for the initial value, four bytes before the value's own
+    ends = np.cumsum(lanes)
+    if not len(lengths):
+        return np.zeros(0, np.uint32)
+    padded = np.zeros(int(ends[-1]) * LANE + 4, np.uint8)
+    stop = ends * LANE
+    at = np.repeat(stop - lengths - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(data))
+    padded[at] = data
+    # the register begins with all ones: its bytes meet the value's first four, or what follows a shorter value
+    first = (stop - lengths)[:, None] + np.arange(4)
+    inside = first < stop[:, None]
+    padded[first[inside]] ^= np.uint8(0xFF)
+    rows = padded[:-4].reshape(-1, LANE)
+    sums = np.zeros(len(rows), np.uint32)
+    for i in range(LANE):
+        sums = CRC_TABLE[(sums ^ rows[:, i]) & np.uint32(0xFF)] ^ (sums >> np.uint32(8))
+    out, begin = np.zeros(len(lengths), np.uint32), ends - lanes
+    order = np.argsort(-lanes, kind="stable")
+    left = len(lanes)
+    for k in range(int(lanes.max())):
+        while lanes[order[left - 1]] <= k:
+            left -= 1
+        own = order[:left]
+        c = out[own]
+        c = SKIP[0][c & np.uint32(0xFF)] ^ SKIP[1][(c >> np.uint32(8)) & np.uint32(0xFF)] ^ SKIP[2][(c >> np.uint32(16)) & np.uint32(0xFF)] ^ SKIP[3][c >> np.uint32(24)]
+        out[own] = c ^ sums[begin[own] + k]
+    for n in range(4):  # ones that a short value leaves in the register
+        short = lengths == n
+        out[short] ^= np.uint32(0xFFFFFFFF) >> np.uint32(8 * n)
+    return out ^ np.uint32(0xFFFFFFFF)
+
+
 def crc32c_bytes(data: bytes) -> int:
-    table, c = CRC_TABLE.tolist(), 0xFFFFFFFF
-    for b in data:
-        c = table[(c ^ b) & 0xFF] ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+    return int(crc32c_values(pd.Series([data]))[0])
 
 
 @F.pandas_udf(T.LongType())
 def crc32c(values: pd.Series) -> pd.Series:
-    """CRC-32C of binary or string values, all values a byte at a time; null for null."""
-    raw = [_bytes(v) for v in values]
-    lengths = np.array([len(r) for r in raw], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    c = np.full(len(raw), 0xFFFFFFFF, np.uint32)
-    live = [raw[i] for i in order]
-    for i in range(int(lengths.max(initial=0))):
-        n = int((lengths > i).sum())
-        byte = np.fromiter((live[j][i] for j in range(n)), np.uint32, n)
-        c[:n] = CRC_TABLE[(c[:n] ^ byte) & np.uint32(0xFF)] ^ (c[:n] >> np.uint32(8))
-    out = np.empty(len(raw), np.int64)
-    out[order] = (c ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
-    return pd.Series(out, dtype="Int64").mask(values.isna().to_numpy())
+    """CRC-32C of binary or string values; null for null."""
+    return pd.Series(crc32c_values(values).astype(np.int64), dtype="Int64").mask(values.isna().to_numpy())
 
 
 @F.pandas_udf(T.DecimalType(20, 0))

@@ -7,12 +7,14 @@ sequence numbers belong together one to one; it needs no Python and no stream in
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.hashing import hmac_sha256, le64
 from ..model import DELIVERED, DUPLICATE, GC_LAG, REORDER_HORIZON
 from .ranking import positions
 
@@ -28,6 +30,10 @@ class Gate:
     delivered: dict[int, object] = field(default_factory=dict)
     keys: set = field(default_factory=set)
     parked: set[int] = field(default_factory=set)
+    ahead: list[int] = field(default_factory=list)  # a heap of the parked numbers; those that were drained are skipped
+
+    def __post_init__(self) -> None:
+        self.ahead = sorted(self.parked)
 
     def offer(self, seq: int, key: object) -> str:
         if seq < self.watermark or key in self.keys or seq in self.delivered:
@@ -37,9 +43,14 @@ class Gate:
         self.parked.add(seq)
         if seq == self.watermark:
             self._drain()
+        heapq.heappush(self.ahead, seq)
         while len(self.parked) > self.horizon:  # give up on the lowest gap
-            self.watermark = min(self.parked)
+            while self.ahead[0] not in self.parked:
+                heapq.heappop(self.ahead)
+            self.watermark = self.ahead[0]
             self._drain()
+        while self.ahead and self.ahead[0] < self.watermark:
+            heapq.heappop(self.ahead)
         for old in range(self.floor, max(self.floor, self.watermark - self.gc_lag)):
             self.keys.discard(self.delivered.pop(old, None))
         self.floor = max(self.floor, self.watermark - self.gc_lag)
@@ -59,6 +70,7 @@ class Gate:
         if watermark > self.watermark:
             self.watermark, self.floor = watermark, max(0, watermark - self.gc_lag)
             self.parked = {s for s in self.parked if s >= watermark}
+            self.ahead = sorted(self.parked)
             self.delivered = {s: k for s, k in self.delivered.items() if s >= self.floor}
             self.keys = set(self.delivered.values())
         for seq, key in entries:
@@ -116,3 +128,12 @@ def resend(outbox: DataFrame, acked: DataFrame, stream: str = "stream", position
 def ack_floor(entries: DataFrame, keys: list[str], segment: str = "segment", acked: str = "acked") -> DataFrame:
     """The oldest segment that still has an unacknowledged entry, and how many there are."""
     return entries.groupBy(*keys).agg(F.min(F.when(~F.col(acked), F.col(segment))).alias("floor"), F.count_if(~F.col(acked)).alias("in_flight"))
+
+
+def signed_watermark(key: bytes, stream: Column, watermark: Column) -> Column:
+    """A token by which a stream's watermark can be shown to others."""
+    return hmac_sha256(key, F.concat(F.lit(b"watermark"), le64(watermark), stream.cast("binary")))
+
+
+def watermark_ok(key: bytes, stream: Column, watermark: Column, token: Column) -> Column:
+    return signed_watermark(key, stream, watermark) == token

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import log, offsets
 from .contract import Contract, batches
+from .lineage import cut
 
 # The request kinds that are served and their versions (kind, least, most).
 API_VERSIONS = [(0, 0, 7), (1, 0, 4), (2, 0, 2), (3, 0, 1), (8, 0, 2), (9, 0, 2), (10, 0, 2), (11, 1, 4), (12, 0, 2), (13, 0, 2), (14, 0, 2), (17, 0, 1), (18, 0, 3), (22, 0, 1), (24, 0, 1), (25, 0, 1), (26, 0, 1), (28, 0, 1), (36, 0, 1)]
@@ -45,7 +46,8 @@ class Broker:
         good = records.join(asked.where("accepted").select(*log.LOG), log.LOG, "left_semi")
         placed = log.assign_offsets(good.select(*log.LOG, "arrival", "value"), base=ends)
         outcome = asked.join(ends, log.LOG, "left").select(*log.LOG, F.when(F.col("accepted"), 0).otherwise(87).alias("code"), F.when(F.col("accepted"), F.coalesce("next_offset", F.lit(0))).otherwise(-1).alias("base_offset"), "records")
-        return replace(self, log=self.log.unionByName(placed)), outcome
+        # the log is cut, so that its plan doesn't grow with the number of produces
+        return replace(self, log=cut(self.log.unionByName(placed))), outcome
 
     def fetch(self, start: int, cap: int) -> DataFrame:
         return log.fetch(self.log, start, cap)
@@ -55,8 +57,8 @@ class Broker:
 
     def commit(self, rows: DataFrame) -> "Broker":
         """Commits past the end of their log are refused."""
-        late = offsets.beyond_tail(rows, self.bounds(), log.LOG).select(*rows.columns)
-        return replace(self, commits=self.commits.unionByName(rows.exceptAll(late)))
+        good = rows.join(self.bounds().select(*log.LOG, "latest"), log.LOG, "left").where(F.col("offset") <= F.coalesce("latest", F.lit(0)))
+        return replace(self, commits=self.commits.unionByName(good.select(*rows.columns)))
 
     def committed(self) -> DataFrame:
         return offsets.latest(self.commits)

@@ -11,9 +11,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.hashing import hmac_sha256, le64
+from ..functions.hashing import hmac_sha256, le64, sha256_of
+from ..model import ENVELOPE, HEADER
 from .contract import Contract, reason
 
 
@@ -45,8 +47,8 @@ def little32(number: Column) -> Column:
 def framed(records: DataFrame, batch: str = "batch_id", order: str = "ord", value: str = "value") -> DataFrame:
     """One framed payload for each batch, from built-in functions."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("binary").alias("v"))))
-    body = F.aggregate("r", F.lit(b""), lambda acc, x: F.concat(acc, little32(F.octet_length(x["v"])), x["v"]))
-    return records.groupBy(batch).agg(rows.alias("r")).select(batch, F.size("r").alias("records"), F.concat(little32(F.size("r")), body).alias("payload"))
+    parts = F.transform("r", lambda x: F.hex(F.concat(little32(F.octet_length(x["v"])), x["v"])))
+    return records.groupBy(batch).agg(rows.alias("r")).select(batch, F.size("r").alias("records"), F.concat(little32(F.size("r")), F.unhex(F.array_join(parts, ""))).alias("payload"))
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
@@ -89,8 +91,70 @@ def opened(envelopes: DataFrame, contract: Contract, data_key: bytes, signing_ke
     return out.withColumn("values", F.when(F.col("reason").isNull(), F.col("values"))).drop("__aad", "__plain")
 
 
-def sender_ok(epoch: Column, least: int, issuer: Column, pinned: bytes) -> Column:
-    return (epoch >= least) & (issuer == F.lit(pinned))
+#: The parts of an encoded envelope that have a length before them, in order; then come seq, ts and the sender's flag.
+PARTS = ("route_id", "stream_id", "envelope_id", "idempotency_key", "contract_fp", "cipher", "nonce", "signer_key_id", "eph_pk")
+VERSION = b"\x01"
+
+
+def encoded(header: str = "header", payload: str = "payload", seal_: str = "seal") -> Column:
+    """An envelope as bytes, from built-in functions; null parts are empty."""
+    part = lambda c: F.concat(little32(F.octet_length(c)), c)
+    empty = lambda name: F.coalesce(F.col(name).cast("binary"), F.lit(b""))
+    tail = [le64(F.col(f"{header}.seq")), le64(F.col(f"{header}.ts")), F.when(F.col(f"{header}.sender_present"), F.lit(b"\1")).otherwise(F.lit(b"\0"))]
+    return F.concat(F.lit(VERSION), *[part(empty(f"{header}.{n}")) for n in PARTS], part(empty(payload)), part(empty(seal_)), *tail)
+
+
+def decode_envelope(data: bytes | None) -> dict | None:
+    """The envelope of these bytes; None if they are cut off, of another version, flagged wrongly, or have bytes left over."""
+    if data is None or data[:1] != VERSION:
+        return None
+    at, parts = 1, []
+    for _ in range(len(PARTS) + 2):
+        if at + 4 > len(data):
+            return None
+        (size,) = struct.unpack_from("<I", data, at)
+        if at + 4 + size > len(data):
+            return None
+        parts.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    if at + 17 != len(data) or data[-1] > 1:
+        return None
+    seq, ts = struct.unpack_from("<qq", data, at)
+    try:
+        header = dict(zip(PARTS, parts)) | {"cipher": parts[PARTS.index("cipher")].decode(), "seq": seq, "ts": ts, "sender_present": bool(data[-1])}
+    except UnicodeDecodeError:
+        return None
+    return {"header": {f.name: header[f.name] for f in HEADER.fields}, "payload": parts[-2], "seal": parts[-1]}
+
+
+def decoded(wires: DataFrame, wire: str = "wire") -> DataFrame:
+    """Rows of encoded envelopes with `envelope` (header, payload, seal) in the bytes' place, null where they are malformed."""
+    names = [c for c in wires.columns if c != wire]
+    schema = T.StructType([*[wires.schema[c] for c in names], T.StructField("envelope", ENVELOPE)])
+    kind = pa.struct([("header", pa.struct([(f.name, {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in HEADER.fields])), ("payload", pa.binary()), ("seal", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([decode_envelope(w) for w in batch.column(len(names)).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], [*names, "envelope"])
+
+    return wires.select(*names, F.col(wire).cast("binary").alias(wire)).mapInArrow(run, schema)
+
+
+def certificate(issuer_key: bytes, subject: Column, epoch: Column) -> Column:
+    """A sender's certificate: version, epoch, the subject's digest, and the issuer's signature over them."""
+    body = F.concat(F.lit(VERSION), le64(epoch), sha256_of(subject))
+    return F.concat(body, F.unhex(hmac_sha256(issuer_key, body)))
+
+
+def certificate_failure(cert: Column, issuer_key: bytes, subject: Column, least_epoch: int) -> Column:
+    """Why a sender is refused, in this order: malformed, signature, subject, epoch; null if it is accepted."""
+    body, epoch = F.substring(cert, 1, 41), F.substring(cert, 2, 8)
+    number = F.conv(F.concat(*[F.hex(F.substring(epoch, 9 - i, 1)) for i in range(1, 9)]), 16, 10).cast("decimal(20,0)")
+    fine = (F.octet_length(cert) == 73) & (F.substring(cert, 1, 1) == F.lit(VERSION))
+    signed = F.unhex(hmac_sha256(issuer_key, body)) == F.substring(cert, 42, 32)
+    same = F.substring(cert, 10, 32) == sha256_of(subject)
+    return F.when(~F.coalesce(fine, F.lit(False)), "malformed").when(~signed, "signature").when(~same, "subject").when(number < least_epoch, "epoch")
 
 
 def stream_identity(route: Column, topic: Column, partition: Column, producer: Column, epoch: Column) -> Column:

@@ -40,9 +40,9 @@ def reserve(requests: DataFrame, keys: list[str], order: str, count: Column) ->
 class LandingTable:
     """Records and watermarks that become visible by one directory rename.
 
-    A batch is written to a staging folder, with its stream and watermark as columns, and published by renaming the
-    folder; the stored watermark is the maximum over what is published, so there is no second table to keep in step.
-    A store without atomic renames needs a table format in its place.
+    A batch is written to a staging folder: its rows, with stream and watermark as columns, and beside them the highest
+    watermark of each stream. Both are published by renaming the folder, so there is no second table to keep in step, and
+    the stored watermarks are found without reading any rows. A store without atomic renames needs a table format in its place.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -52,22 +52,25 @@ class LandingTable:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.path}/data"))
 
-    def read(self) -> DataFrame | None:
-        files = self._fs.listStatus(self._path(f"{self.path}/data"))
-        names = [f.getPath().toString() for f in files]
+    def _published(self, part: str) -> DataFrame | None:
+        names = [f"{f.getPath().toString()}/{part}" for f in self._fs.listStatus(self._path(f"{self.path}/data"))]
         return self.spark.read.parquet(*names) if names else None
 
+    def read(self) -> DataFrame | None:
+        return self._published("rows")
+
     def watermarks(self) -> DataFrame:
-        stored = self.read()
+        stored = self._published("marks")
         if stored is None:
             return self.spark.createDataFrame([], "stream string, watermark long")
         return stored.groupBy("stream").agg(F.max("watermark").alias("watermark"))
 
     def publish(self, rows: DataFrame) -> None:
         name = uuid.uuid4().hex
-        staged = self._path(f"{self.path}/staging/{name}")
-        rows.write.parquet(staged.toString())
-        if not self._fs.rename(staged, self._path(f"{self.path}/data/{name}")):
+        staged = f"{self.path}/staging/{name}"
+        rows.write.parquet(f"{staged}/rows")
+        self.spark.read.schema(rows.schema).parquet(f"{staged}/rows").groupBy("stream").agg(F.max("watermark").alias("watermark")).coalesce(1).write.parquet(f"{staged}/marks")
+        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/data/{name}")):
             raise OSError(f"could not publish {name}")
 
     def land(self, records: DataFrame, mode: str = "position") -> None:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .ranking import positions, running_total
 
@@ -142,3 +142,47 @@ def metadata(topics: DataFrame, partitions: int, broker: int = 0) -> DataFrame:
 
 def partition_dir(topic: Column, partition: Column) -> Column:
     return F.concat(F.lower(F.hex(F.encode(topic, "UTF-8"))), F.lit("-"), partition.cast("string"))
+
+
+def end_offset(log: DataFrame, keys: list[str] = LOG, value: str = "value", overhead: int = 8) -> DataFrame:
+    """Where the next frame of each log begins: the bytes of all its frames."""
+    return log.groupBy(*keys).agg(F.sum(F.octet_length(F.col(value).cast("binary")).cast("long") + overhead).alias("end"))
+
+
+def read_from(segments: DataFrame, cursor: int, most: int, at: str = "byte_offset") -> DataFrame:
+    """The next frames of a log of segments from a cursor on, across the ends of segments; the cursor must be where a frame begins."""
+    return segments.where(F.col(at) >= cursor).orderBy(at).limit(most)
+
+
+def seal_and_rotate(spark: SparkSession, hot: str, cold: str, before: int) -> None:
+    """Move records below an offset from the hot folder to the cold one: first the cold copy, then the new hot folder in
+    the old one's place. Stopped in between, records are in both tiers, and `tiered` counts them once."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(hot).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = spark.read.parquet(hot)
+    done = spark.read.parquet(cold).select(*LOG, "offset") if fs.exists(at(cold)) else None
+    moved = rows.where(F.col("offset") < before)
+    (moved.join(done, [*LOG, "offset"], "left_anti") if done is not None else moved).write.mode("append").parquet(cold)
+    fs.delete(at(f"{hot}.new"), True)
+    rows.where(F.col("offset") >= before).write.parquet(f"{hot}.new")
+    fs.delete(at(f"{hot}.old"), True)
+    if not (fs.rename(at(hot), at(f"{hot}.old")) and fs.rename(at(f"{hot}.new"), at(hot))):
+        raise OSError(f"could not replace {hot}")
+    fs.delete(at(f"{hot}.old"), True)
+
+
+def link_faults(sends: DataFrame, keys: list[str], order: str, every: int) -> DataFrame:
+    """A lossy link's sends, numbered; every so many-th is lost."""
+    return positions(sends, keys, order, "nth").withColumn("lost", F.col("nth") % every == every - 1)
+
+
+def retransmits(in_flight: DataFrame, now: Column, timeout: Column) -> DataFrame:
+    """What a reliable sender sends again: blocks without an acknowledgement whose last try is a timeout old."""
+    return in_flight.where(~F.col("acked") & (now - F.col("last_tx") >= timeout))
+
+
+def object_names(names: DataFrame, name: str = "name") -> DataFrame:
+    """Rows whose name is that of a stored envelope, stream/number.env, with both; others are skipped."""
+    pattern = "^([0-9a-f]+)/([0-9]{20})[.]env$"
+    return names.where(F.col(name).rlike(pattern)).withColumn("stream", F.regexp_extract(name, pattern, 1)).withColumn("seq", F.regexp_extract(name, pattern, 2).cast("long"))

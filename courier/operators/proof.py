@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hmac_sha256, le64, sha256_of
 from ..model import CHUNK
@@ -108,8 +108,8 @@ def chunks(blobs: DataFrame, blob: str, data: str, size: int = CHUNK) -> DataFra
     """(blob, idx, total, bytes): pieces of `size` bytes; an empty blob is one empty piece."""
     b = F.col(data).cast("binary")
     total = F.greatest(F.ceil(F.octet_length(b) / F.lit(size)).cast("int"), F.lit(1))
-    cut = blobs.where(F.col(data).isNotNull()).select(blob, b.alias("__b"), total.alias("total")).select(blob, "__b", "total", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"))
-    return cut.select(blob, F.col("idx").cast("long").alias("idx"), "total", F.substring("__b", F.col("idx") * size + 1, F.lit(size)).alias("bytes"))
+    pieces = F.transform(F.sequence(F.lit(0), total - 1), lambda i: F.substring(b, i * size + 1, F.lit(size)))
+    return blobs.where(F.col(data).isNotNull()).select(blob, total.alias("total"), F.posexplode(pieces).alias("idx", "bytes")).select(blob, F.col("idx").cast("long").alias("idx"), "total", "bytes")
 
 
 def missing(present: DataFrame, totals: DataFrame, blob: str) -> DataFrame:
@@ -122,13 +122,40 @@ def reassemble(pieces: DataFrame, blob: str) -> DataFrame:
     """Blobs whose pieces are all there."""
     rows = F.array_sort(F.collect_set(F.struct("idx", "bytes")))
     whole = pieces.groupBy(blob).agg(rows.alias("r"), F.max("total").alias("total")).where(F.size("r") == F.col("total"))
-    return whole.select(blob, F.aggregate("r", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"])).alias("data"))
+    return whole.select(blob, F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["bytes"])), "")).alias("data"))
 
 
 def heads(leaves: DataFrame, log: str = "log_id") -> DataFrame:
     return roots(leaves, log).join(leaves.groupBy(log).agg(F.count("*").alias("size")), log)
 
 
-def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def head_ok(key: bytes, log: Column, size: Column, root: Column, signature: Column) -> Column:
+    return tree_head(key, log, size, root) == F.lower(F.hex(signature))
+
+
+def ack_ok(key: bytes, leaf_hash: Column, idx: Column, root: Column, signature: Column) -> Column:
+    return acknowledgement(key, leaf_hash, idx, root) == F.lower(F.hex(signature))
+
+
+def receipts(leaves: DataFrame, key: bytes, log: str = "log_id") -> DataFrame:
+    """(log, idx, hash, size, root, head, path, ack_idx, ack_root, ack): what proves to the sender of each leaf that it is in its log."""
+    signed = heads(leaves, log).withColumn("root", F.unhex("root")).withColumn("head", F.unhex(tree_head(key, F.col(log), F.col("size"), F.col("root"))))
+    rows = leaves.select(log, "idx", "hash").join(inclusion_proofs(leaves, log), [log, "idx"]).join(signed, log)
+    return rows.select("*", F.col("idx").alias("ack_idx"), F.col("root").alias("ack_root"), F.unhex(acknowledgement(key, F.col("hash"), F.col("idx"), F.col("root"))).alias("ack"))
+
+
+def verified(found: DataFrame, key: bytes, content: Column, log: str = "log_id") -> DataFrame:
+    """Receipts with `failure`, the first check that each fails, null if it holds. content: the leaf that the sender expects."""
+    c = F.col
+    in_size = c("idx") < c("size")
+    checks = (
+        c("hash") == content, head_ok(key, c(log), c("size"), c("root"), c("head")), in_size, root_from_path(c("hash"), c("path")) == c("root"),
+        ack_ok(key, c("hash"), c("ack_idx"), c("ack_root"), c("ack")), c("ack_idx") == c("idx"), c("ack_root") == c("root"),
+    )
+    return found.withColumn("failure", receipt_failure(*checks))
+
+
+def accepted_chunks(pieces: DataFrame, leaves: DataFrame, blob: str) -> DataFrame:
+    """The pieces whose bytes give the leaf that the blob's list of leaves (blob, idx, leaf) has for them, each once."""
+    fine = pieces.join(leaves.select(blob, "idx", F.col("leaf").alias("__leaf")), [blob, "idx"]).where(chunk_leaf(F.col("idx"), F.col("bytes")) == F.col("__leaf"))
+    return fine.drop("__leaf").dropDuplicates([blob, "idx"])

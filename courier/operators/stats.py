@@ -88,3 +88,26 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def fan_out(records: DataFrame, subscribers: DataFrame, topic: str = "topic") -> DataFrame:
     """A copy of each record for every subscriber of its topic."""
     return records.join(subscribers, topic)
+
+
+def batched(records: DataFrame, keys: list[str], at: str, count: int, micros: int) -> DataFrame:
+    """Records with the batch that takes them: one closes when it has `count` records, or when a record comes `micros` after its first.
+
+    Where a batch begins depends on the one before, so a key's records are folded in order, with a state of three numbers.
+    """
+    schema = records.schema.add("batch", "long")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, began, held, batch = None, 0, 0, 0
+        for part in parts:
+            out = []
+            for key, t in zip(part[keys].itertuples(index=False, name=None), part[at]):
+                if key != now:
+                    now, began, held, batch = key, t, 0, 0
+                elif held >= count or t - began >= micros:
+                    began, held, batch = t, 0, batch + 1
+                held += 1
+                out.append(batch)
+            yield part.assign(batch=out)
+
+    return records.repartition(*keys).sortWithinPartitions(*keys, at).mapInPandas(run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..model import CONCURRENT, INVALID_EPOCH, INVALID_STATE
+from ..model import CONCURRENT, INVALID_EPOCH, INVALID_RECORD, INVALID_STATE
+from .contract import Contract
 from .ranking import positions
 
 
@@ -53,3 +54,39 @@ def staged_offsets(staged: DataFrame, markers: DataFrame) -> DataFrame:
     """Offsets that committed transactions carry, as commits at the order of their markers."""
     ends = markers.where("commit").groupBy("producer_id", "epoch").agg(F.min("ord").alias("__end"))
     return staged.join(ends, ["producer_id", "epoch"]).select("group", "topic", "partition", "offset", F.col("__end").alias("ord"))
+
+
+def served(events: DataFrame, contract: Contract) -> DataFrame:
+    """A transactional service's answers to events (ord, kind, transactional_id, epoch, topic, partition, value, commit).
+
+    `init` begins the next epoch and discards what is open. `add` claims a partition and opens the transaction, `buffer`
+    stages a record, `end` commits or aborts. Codes: 47 for an epoch that isn't the id's latest, 48 without an open
+    transaction or a claim, 87 for a record that breaks the contract, else 0. `shown`: a staged record whose transaction is
+    committed. `provisional`: its place among the staged records of its transaction and partition.
+
+    A transactional id's events are in one task; the events of all ids are spread.
+    """
+    own = Window.partitionBy("transactional_id").orderBy("ord")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("__epoch", F.sum((F.col("kind") == "init").cast("int")).over(so_far) - 1)
+    rows = rows.withColumn("__current", (F.col("kind") == "init") | F.coalesce(F.col("epoch") == F.col("__epoch"), F.lit(False)))
+    live = lambda kind: F.col("__current") & (F.col("kind") == kind)
+    # what closes a transaction: an init, or an end of the current epoch; an end without an open one changes nothing
+    rows = rows.withColumn("__closed", F.coalesce(F.max(F.when(live("init") | live("end"), F.col("ord"))).over(before), F.lit(-1)))
+    rows = rows.withColumn("__opened", F.coalesce(F.max(F.when(live("add"), F.col("ord"))).over(before), F.lit(-1)))
+    rows = rows.withColumn("__claimed", F.coalesce(F.max(F.when(live("add"), F.col("ord"))).over(Window.partitionBy("transactional_id", "topic", "partition").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    is_open, claimed = F.col("__opened") > F.col("__closed"), F.col("__claimed") > F.col("__closed")
+    code = (
+        F.when(F.col("kind") == "init", 0).when(~F.col("__current"), INVALID_EPOCH)
+        .when((F.col("kind") == "end") & ~is_open, INVALID_STATE).when((F.col("kind") == "buffer") & ~(is_open & claimed), INVALID_STATE)
+        .when((F.col("kind") == "buffer") & ~contract.accepts(F.col("value")), INVALID_RECORD).otherwise(0)
+    )
+    rows = rows.withColumn("code", code)
+    after = own.rowsBetween(1, Window.unboundedFollowing)
+    closing = F.min(F.when((F.col("kind") == "init") | ((F.col("kind") == "end") & (F.col("code") == 0)), F.struct("ord", (F.coalesce(F.col("commit"), F.lit(False)) & (F.col("kind") == "end")).alias("commit")))).over(after)
+    rows = rows.withColumn("__end", closing)
+    staged = (F.col("kind") == "buffer") & (F.col("code") == 0)
+    nth = F.row_number().over(Window.partitionBy("transactional_id", "__closed", "topic", "partition", staged).orderBy("ord")) - 1
+    shown = staged & F.coalesce(F.col("__end.commit"), F.lit(False))
+    return rows.select(*events.columns, "code", F.when(staged, nth).alias("provisional"), shown.alias("shown"))

@@ -201,7 +201,11 @@ def log_truncate(s, d):
     return log.truncate(logged(s, d), 17).select("topic", "partition", "offset", "value")
 
 
-@query()
+@query(f"""with recursive l as materialized (select topic, "partition", "offset", octet_length(value::blob) + 8 as size from {LOG}),
+f as (select topic, "partition", "offset", 0::bigint as segment, 0::bigint as byte_offset, size from l where "offset" = 0 union all
+  select l.topic, l."partition", l."offset", case when f.byte_offset + f.size - f.segment >= 512 then f.byte_offset + f.size else f.segment end, f.byte_offset + f.size, l.size
+  from f join l on l.topic = f.topic and l."partition" = f."partition" and l."offset" = f."offset" + 1)
+select topic, "partition", "offset", segment, byte_offset from f""")
 def segment_rotate(s, d):
     return log.rotate(logged(s, d), 512).select("topic", "partition", "offset", "segment", "byte_offset")
 
@@ -490,7 +494,16 @@ def digests(s, d):
     return table(s, d, "pages").select("page_id", F.md5(F.col("html").cast("binary")).alias("md5"), F.regexp_replace(F.base64(F.col("html").cast("binary")), "[\r\n]", "").alias("b64"))
 
 
-@query()
+CRC_SQL = """list_reduce(list_prepend(4294967295::bigint, [('0x' || h[2 * i + 1 : 2 * i + 2])::bigint for i in range(0, len(h) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"""
+
+
+def crc_table(polynomial: int) -> str:
+    return f"(select list(list_reduce(list_prepend(n, range(0, 8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, {polynomial}) else c >> 1 end) order by n) from (select unnest(range(0, 256)) as n))"
+
+
+@query(f"""with d as (select doc_id, hex(encode(text)) as h from documents),
+a as (select doc_id, xor({CRC_SQL}, 4294967295) as crc32 from d, {crc_table(0xEDB88320)} q(t)), b as (select doc_id, xor({CRC_SQL}, 4294967295) as crc32c from d, {crc_table(0x82F63B78)} q(t))
+select doc_id, crc32, crc32c from a join b using (doc_id)""")
 def crc_checks(s, d):
     return table(s, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"), hashing.crc32c("text").alias("crc32c"))
 
@@ -506,7 +519,7 @@ def zigzag_numbers(s, d):
     return table(s, d, "events").select("event_id", hashing.zigzag(n).alias("z"))
 
 
-@query()
+@query(f"select batch_id, n as sent, n as received, batch_id as producer_id, (batch_id * 50)::int as base_sequence, 0 as error from (select arrival // 50 as batch_id, count(*)::int as n from {RECORDS} group by 1)")
 def record_batch_roundtrip(s, d):
     """Produce batches written and read again: values, sequence range and checksum survive."""
     b = records(s, d).withColumn("batch_id", F.expr("arrival div 50")).groupBy("batch_id").agg(F.array_sort(F.collect_list("value")).alias("values"))
@@ -514,7 +527,7 @@ def record_batch_roundtrip(s, d):
     return wire.withColumn("got", codec.decode_batch("wire")).select("batch_id", "sent", F.size("got.values").alias("received"), "got.producer_id", "got.base_sequence", "got.error")
 
 
-@query()
+@query(f"select batch_id, n as records, case when batch_id % 5 = 0 then 'bad_seal' end as reason, case when batch_id % 5 <> 0 then n end as opened from (select arrival // 20 as batch_id, count(*)::int as n from {RECORDS} group by 1)")
 def envelope_roundtrip(s, d):
     """Batches sealed, some then damaged, opened: each failure has its reason."""
     rows = records(s, d).withColumn("batch_id", F.expr("arrival div 20")).withColumnRenamed("arrival", "ord")
@@ -536,7 +549,10 @@ def merkle_level(s, d):
     return proof.next_level(leaves(s, d)).select("log_id", "idx", F.lower(F.hex("hash")).alias("hash"))
 
 
-@query()
+@query(f"""with recursive t(log_id, idx, hash, most) as (select log_id, idx, hash, max(idx) over (partition by log_id) from {LEAVES} union all
+  select log_id, idx // 2, case when r is null then hash else sha256('\\x01'::blob || from_hex(hash) || from_hex(r)) end, most // 2
+  from (select log_id, idx, hash, most, lead(hash) over (partition by log_id order by idx) as r from t) where idx % 2 = 0 and most > 0)
+select log_id, hash as root from t where most = 0""")
 def merkle_roots(s, d):
     return proof.roots(leaves(s, d))
 
@@ -620,7 +636,11 @@ def retention_newest(s, d):
     return newest(table(s, d, "events"), ["event_type"], "event_id", 10).select("event_type", "event_id")
 
 
-@query()
+@query("""with recursive r as materialized (select user_id % 7 as link, event_id as ord, (20 + event_id % 30)::double as rtt_ms, row_number() over (partition by user_id % 7 order by event_id) as n from events),
+f as (select link, ord, n, rtt_ms, rtt_ms as base_ms, case when rtt_ms - rtt_ms > 10 then 10::double * 0.85::double else 11::double end as "window" from r where n = 1 union all
+  select r.link, r.ord, r.n, r.rtt_ms, least(f.base_ms, r.rtt_ms), case when r.rtt_ms - least(f.base_ms, r.rtt_ms) > 10 then greatest(1::double, f."window" * 0.85::double) else least(4096::double, f."window" + 1) end
+  from f join r on r.link = f.link and r.n = f.n + 1)
+select link, ord, rtt_ms, base_ms, "window" from f""")
 def link_windows(s, d):
     r = table(s, d, "events").select((F.col("user_id") % 7).alias("link"), F.col("event_id").alias("ord"), (20 + F.col("event_id") % 30).cast("double").alias("rtt_ms"))
     return stats.window_trace(r)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import services  # noqa: F401
 from .plans.queries import QUERIES, SQL
 
 

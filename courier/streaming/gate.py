@@ -28,7 +28,7 @@ def admit_stream(arrivals: DataFrame, horizon: int = REORDER_HORIZON, gc_lag: in
         gate = Gate(horizon, gc_lag)
         if state.exists:
             watermark, floor, seqs, keys, parked = state.get
-            gate.watermark, gate.floor, gate.delivered, gate.keys, gate.parked = watermark, floor, dict(zip(seqs, keys)), set(keys), set(parked)
+            gate = Gate(horizon, gc_lag, watermark, floor, dict(zip(seqs, keys)), set(keys), set(parked))
         rows = pd.concat(list(parts)).sort_values("arrival", kind="stable")
         out = []
         for seq, k in zip(rows["seq"], rows["key"]):
