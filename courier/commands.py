@@ -1,4 +1,4 @@
-"""The engine's commands: validate, keygen, run, replay, verify, ticket."""
+"""The engine's commands: validate, keygen, run, deliver, send, recv, replay, verify, ticket."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.hashing import hmac_bytes
-from .operators import contract, envelope, landing, log
+from .model import BATCH_COUNT, DEAD
+from .operators import contract, envelope, landing, log, offload
+from .operators.lineage import cut
 from .sources import lines, spec
 
 
@@ -43,6 +45,40 @@ def run(spark: SparkSession, route: spec.Route, records: DataFrame, target: land
     return {"boarded": n["boarded"], "landed": max(0, n["boarded"] - before), "dead": 0}
 
 
+def board(route: spec.Route, records: DataFrame, data_key: bytes, signing_key: bytes, size: int = BATCH_COUNT) -> DataFrame:
+    """Records (pos, value) as envelopes of up to `size` each, sealed and encoded: (arrival, wire). Sealing again gives the same bytes."""
+    rows = records.withColumn("batch", F.expr(f"pos div {size}"))
+    framed = envelope.framed(rows, "batch", "pos", "value")
+    sealed = envelope.seal(framed, route.onboarding, data_key, signing_key, route.route_id, F.lit(route.stream_id), F.col("batch"), F.concat(F.lit(route.stream_id.hex() + "/"), F.col("batch").cast("string")), F.col("payload"))
+    return sealed.select(F.col("batch").alias("arrival"), envelope.encoded().alias("wire"))
+
+
+def offboard(route: spec.Route, wires: DataFrame, data_key: bytes, signing_key: bytes) -> DataFrame:
+    """Encoded envelopes (arrival, wire) opened and admitted; malformed ones are dead."""
+    got = envelope.decoded(wires)
+    done = offload.offload(got.where("envelope is not null").select("arrival", "envelope.*"), route.offloading, data_key, signing_key, route.route_id)
+    dead = got.where("envelope is null").select("arrival", F.lit("malformed").alias("reason"), F.lit(DEAD).alias("disposition"))
+    return done.select("arrival", "stream", "seq", "reason", "disposition", "values").unionByName(dead, allowMissingColumns=True)
+
+
+def deliver(spark: SparkSession, route: spec.Route, records: DataFrame, target: landing.LandingTable, data_key: bytes, signing_key: bytes, size: int = BATCH_COUNT) -> dict[str, int]:
+    """A batch of records boarded, moved, opened, admitted and landed. Running again lands nothing twice."""
+    done = cut(offboard(route, board(route, records, data_key, signing_key, size), data_key, signing_key))
+    landed = offload.commit(done, target)
+    told = {r["disposition"]: r["n"] for r in done.groupBy("disposition").agg(F.count("*").alias("n")).collect()}
+    return {"envelopes": sum(told.values()), "landed": landed, "dead": told.get(DEAD, 0), "duplicate": told.get("Duplicate", 0)}
+
+
+def send(route: spec.Route, records: DataFrame, folder: str, data_key: bytes, signing_key: bytes, size: int = BATCH_COUNT) -> None:
+    """Envelopes as files of a folder, which stands for the channel."""
+    board(route, records, data_key, signing_key, size).write.mode("append").parquet(folder)
+
+
+def recv(spark: SparkSession, route: spec.Route, folder: str, target: landing.LandingTable, data_key: bytes, signing_key: bytes) -> int:
+    """What has come into the folder is landed, each envelope once."""
+    return offload.commit(offboard(route, spark.read.parquet(folder), data_key, signing_key), target)
+
+
 def replay(records: DataFrame, text: str, position: str = "pos") -> DataFrame:
     return log.replay(records, text, position)
 

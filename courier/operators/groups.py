@@ -58,6 +58,19 @@ class Coordinator:
         self.generation += 1
         self.state, self.deadline = PREPARING, now + self.window
 
+    def tick(self, now: int) -> None:
+        """What time alone does: a join window ends, members expire."""
+        self._finish(now)
+        before = len(self.seen)
+        self._expire(now)
+        if self.seen and len(self.seen) < before and self.state != PREPARING:
+            self._reopen(now)
+
+    def next_due(self) -> int | None:
+        """When time alone next does something."""
+        ends = [at + self.session[m] for m, at in self.seen.items()]
+        return min([*ends, *([self.deadline] if self.deadline is not None else [])], default=None)
+
     def apply(self, now: int, kind: str, member: str, generation: int = -1, session_ms: int = 10_000) -> int:
         """The event's answer: 0, or an error code. Joins and heartbeats look for expired members first."""
         self._finish(now)

@@ -494,7 +494,7 @@ def digests(s, d):
     return table(s, d, "pages").select("page_id", F.md5(F.col("html").cast("binary")).alias("md5"), F.regexp_replace(F.base64(F.col("html").cast("binary")), "[\r\n]", "").alias("b64"))
 
 
-CRC_SQL = """list_reduce(list_prepend(4294967295::bigint, [('0x' || h[2 * i + 1 : 2 * i + 2])::bigint for i in range(0, len(h) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"""
+CRC_SQL = """list_reduce(list_prepend(4294967295::bigint, [('0x' || x)::bigint for x in regexp_extract_all(h, '..')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"""
 
 
 def crc_table(polynomial: int) -> str:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.codec import decode_batch
 from ..model import DUPLICATE, GC_LAG, REORDER_HORIZON
 from ..operators.admit import Gate
 from ..operators.contract import Contract
@@ -74,6 +75,39 @@ def ingest(spark: SparkSession, source: str, schema: str, contract: Contract, ta
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_batches(spark: SparkSession, source: str, contract: Contract, target: LandingTable, checkpoint: str, files_per_trigger: int = 16, wrap: str = ""):
+    """Dropped files of produced record batches (topic, partition, wire), decoded, checked and landed.
+
+    A batch with a producer's range lands by its sequence numbers, once, however often it is produced or read: its stream is
+    the producer's in that partition, its watermark the number after its last. A batch without one is landed as it comes, at
+    least once. Malformed and corrupt batches, and those with a record that breaks the contract, are refused as a whole.
+    """
+    rows = spark.readStream.schema("topic string, partition int, wire binary").option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+
+    def land(batch: DataFrame, _: int) -> None:
+        got = batch.withColumn("got", decode_batch("wire")).where((F.col("got.error") == 0) & (F.size("got.values") > 0))
+        got = got.where(F.forall("got.values", lambda v: contract.accepts(v)))
+        place = F.concat_ws("/", F.lit(wrap), "topic", F.col("partition").cast("string"))
+        ranged = got.where("got.producer_id is not null").select(F.concat_ws("/", place, F.col("got.producer_id").cast("string"), F.col("got.epoch").cast("string")).alias("stream"), (F.col("got.base_sequence") + F.col("got.count")).cast("long").alias("watermark"), F.col("got.values").alias("values"))
+        plain = got.where("got.producer_id is null").select(place.alias("stream"), F.lit(0).cast("long").alias("watermark"), F.col("got.values").alias("values"))
+        new = whole(ranged.dropDuplicates(["stream", "watermark"]), target.watermarks()).unionByName(plain)
+        new = new.select("stream", "watermark", F.posexplode("values").alias("pos", "value")).withColumn("value", F.col("value").cast("string")).persist()
+        if not new.isEmpty():
+            target.publish(new)
+        new.unpersist()
+
+    return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dropped_files(spark: SparkSession, source: str, schema: str, files: int | None = None, size: int | None = None) -> DataFrame:
+    """Dropped files as a stream whose micro-batches close at a number of files or of bytes, whichever is given."""
+    reader = spark.readStream.schema(schema)
+    for option, value in (("maxFilesPerTrigger", files), ("maxBytesPerTrigger", size)):
+        if value is not None:
+            reader = reader.option(option, value)
+    return reader.parquet(source)
+
+
 def produce_with_timer(records: DataFrame, millis: int, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Batching by time: a trigger closes a batch."""
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{millis} milliseconds").start()
