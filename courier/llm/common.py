@@ -14,14 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. A folder of our own only where the session names none."""
+    """The folder that all executors see. A folder of our own only on a single machine whose session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if conf is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(conf or os.path.join(tempfile.gettempdir(), "courier-checkpoints"))
     return sc.getCheckpointDir()
 
 
+def partitions(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions for a shuffle of so many rows: as many as the session asks for, and more if one would hold over `most` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most), 1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a narrow table in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)

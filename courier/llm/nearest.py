@@ -20,12 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import partitions
+
 K = 5
 QUERY_BLOCK = 8192
 #: Candidates of a block: enough blocks for a thousand tasks, within these sizes.
 LEAST_BLOCK, MOST_BLOCK = 1024, 65536
 #: Bytes of the longest vectors that either side of a tile holds at most, as doubles; a tile takes some four times that.
 BLOCK_BYTES = 32 << 20
+#: Tiles' answers (24 bytes each) that one shuffle partition holds.
+PART_ROWS = 16_000_000
 #: Pairs that one product holds at once.
 PAIRS = 1 << 21
 
@@ -143,6 +147,5 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "v
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["query_id", "rank", "vec_id", "score"])
 
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = tiles.repartition(parts, "query_id").sortWithinPartitions("query_id")
+    together = tiles.repartition(partitions(queries.sparkSession, m * k * cols, PART_ROWS), "query_id").sortWithinPartitions("query_id")
     return together.mapInArrow(heaps, "query_id long, rank int, vec_id long, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut
+from .common import components, cut, partitions
 from .words import LOWER, NOT_SPACE, Words, slices, utf8
 
 SHINGLE = 4
@@ -32,6 +32,8 @@ SEED = 42
 #: Variants of one bucket, on average; and those that a task writes out at once, beyond which it takes a bucket in parts.
 BUCKET_VARIANTS = 2_000_000
 MOST_VARIANTS = 8_000_000
+#: Fingerprints with their buckets (16 bytes each) that one shuffle partition holds.
+PART_ROWS = 16_000_000
 
 
 def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -169,7 +171,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
     own = F.shiftrightunsigned("fp", 64 - prefix)
     spread = fps.select("fp", F.explode(F.transform(F.lit(masks).cast("array<long>"), lambda m: own.bitwiseXOR(m))).alias("bucket"))
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = partitions(fps.sparkSession, n * len(masks), PART_ROWS)
     dealt = spread.select("bucket", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "a long, b long")
 
