@@ -3,25 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .ranking import BITS, quantile_ranges, same_keys
 
 PERMILLES = {"p50": 500, "p90": 900, "p99": 990, "p999": 999}
 
 
-def nearest_rank(samples: DataFrame, by: list[str], value: str, permilles: dict[str, int] | None = None) -> DataFrame:
+def nearest_rank(samples: DataFrame, by: list[str], value: str, permilles: dict[str, int] | None = None, bits: int = BITS) -> DataFrame:
     """The sample at place floor((n - 1) * permille / 1000) of each group, with the maximum and the count.
 
-    Equal samples are counted first, so a group is as large as it has different values; ranks are running counts.
+    Equal samples are counted first. The values of a group are cut into ranges by quantiles; the exact counts of the ranges
+    tell which of them hold the places asked for, and only the values of these are ranked, each range by itself.
+    Null samples take no part; a group without others has no row.
     """
     permilles = permilles or PERMILLES
     counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("__upto", F.sum("__n").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
+    ranged = quantile_ranges(counts, by, "__v", bits)
+    group = Window.partitionBy(*by)
+    spans = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__in"), F.max("__v").alias("__top"))
+    before = F.coalesce(F.sum("__in").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(*by, "__range", "__in", before.alias("__before"), F.max("__top").over(group).alias("__top"), F.sum("__in").over(group).alias("__all"))
     at = lambda p: F.floor((F.col("__all") - 1) * p / 1000)
+    holds = [(F.col("__before") <= at(p)) & (at(p) < F.col("__before") + F.col("__in")) for p in permilles.values()]
+    few = same_keys(ranged, spans.where(reduce(Column.__or__, holds)).drop("__in"), [*by, "__range"])
+    inside = Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = few.withColumn("__upto", F.col("__before") + F.sum("__n").over(inside))
     picks = [F.min(F.when(F.col("__upto") > at(p), F.col("__v"))).alias(name) for name, p in permilles.items()]
-    return ranked.groupBy(*by).agg(*picks, F.max("__v").alias("max"), F.sum("__n").alias("count"))
+    return ranked.groupBy(*by).agg(*picks, F.max("__top").alias("max"), F.max("__all").alias("count"))
 
 
 def tally(dispositions: DataFrame, by: list[str], offered: str | None = None) -> DataFrame:

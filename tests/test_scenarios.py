@@ -101,6 +101,26 @@ def test_positions_in_ranges(spark, width):
         assert sorted((r["n"], r["pos"]) for r in got if r["k"] == k) == [(n, i) for i, n in enumerate(own)]
 
 
+@pytest.mark.parametrize("kind", ["sparse", "clumped", "tied"])
+def test_positions_of_numbers_that_are_not_dense(spark, kind):
+    rng = random.Random(kind)
+    number = {"sparse": lambda: rng.randrange(1 << 60), "clumped": lambda: int(rng.lognormvariate(0, 9)), "tied": lambda: rng.randrange(3)}[kind]
+    rows = [(rng.choice("aab"), number(), i) for i in range(3000)]
+    got = ranking.positions(spark.createDataFrame(rows, "k string, n long, i long"), ["k"], "n", "pos", ties=["i"], width=None).collect()
+    for k in "ab":
+        own = sorted((n, i) for x, n, i in rows if x == k)
+        assert sorted((r["n"], r["i"], r["pos"]) for r in got if r["k"] == k) == [(*x, at) for at, x in enumerate(own)]
+
+
+@pytest.mark.parametrize("spread", [lambda rng: rng.randrange(1 << 60), lambda rng: int(rng.lognormvariate(0, 9))])
+def test_quantile_ranges_are_even(spark, spread):
+    """However the numbers of a hot key lie, no range holds much more than its share, and their number doesn't grow."""
+    rng = random.Random(4)
+    rows = [(1, n) for n in {spread(rng) + (i << 40) for i in range(20_000)}]
+    sizes = [r["count"] for r in ranking.quantile_ranges(spark.createDataFrame(rows, "k int, n long"), ["k"], "n", 4).groupBy("__range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * len(rows) / 16
+
+
 def test_newest(spark):
     df = spark.createDataFrame([("a", i * 40_000) for i in range(20)] + [("b", 1)], "k string, n long")
     assert sorted((r["k"], r["n"]) for r in ranking.newest(df, ["k"], "n", 3).collect()) == [("a", 680_000), ("a", 720_000), ("a", 760_000), ("b", 1)]
@@ -448,6 +468,25 @@ def test_nearest_rank(spark):
     assert got["b"]["p999"] == got["b"]["max"] == 7 and got["a"]["count"] == 1000
 
 
+@pytest.mark.parametrize("bits", [1, 3, 10])
+def test_nearest_rank_of_heavy_tails(spark, bits):
+    rng = random.Random(bits)
+    samples = [(rng.choice(["a", "a", None]), rng.choice([None, rng.lognormvariate(0, 5), float(rng.randrange(4))])) for _ in range(4000)] + [("none", None), ("inf", float("inf"))]
+    df = stats.nearest_rank(spark.createDataFrame(samples, "g string, v double"), ["g"], "v", bits=bits)
+    got = {r["g"]: r for r in df.collect()}
+    assert set(got) == {"a", None, "inf"}
+    for g in got:
+        own = sorted(v for x, v in samples if x == g and v is not None)
+        assert [got[g][n] for n in stats.PERMILLES] == [own[(len(own) - 1) * p // 1000] for p in stats.PERMILLES.values()]
+        assert got[g]["max"] == own[-1] and got[g]["count"] == len(own)
+
+
+def test_nearest_rank_of_a_hot_group_ranks_ranges(spark):
+    """No window over a group alone orders its values: those are ranked range by range."""
+    plan = stats.nearest_rank(spark.range(1000).selectExpr("1 as g", "rand(1) as v"), ["g"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__range" in line.split("windowspecdefinition")[1] for line in plan.splitlines() if "Window" in line and "__v" in line.split("windowspecdefinition")[1])
+
+
 def test_window_trace(spark):
     rtts = [20.0, 25.0, 35.0, 18.0, 29.0]
     got = stats.window_trace(spark.createDataFrame([("l", i, r) for i, r in enumerate(rtts)], "link string, ord long, rtt_ms double")).orderBy("ord").collect()
