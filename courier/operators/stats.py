@@ -8,21 +8,26 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranking import BITS, quantile_ranges, same_keys
+from .ranking import same_keys
 
 PERMILLES = {"p50": 500, "p90": 900, "p99": 990, "p999": 999}
 
 
-def nearest_rank(samples: DataFrame, by: list[str], value: str, permilles: dict[str, int] | None = None, bits: int = BITS) -> DataFrame:
+def nearest_rank(samples: DataFrame, by: list[str], value: str, permilles: dict[str, int] | None = None, accuracy: int = 10_000) -> DataFrame:
     """The sample at place floor((n - 1) * permille / 1000) of each group, with the maximum and the count.
 
-    Equal samples are counted first. The values of a group are cut into ranges by quantiles; the exact counts of the ranges
-    tell which of them hold the places asked for, and only the values of these are ranked, each range by itself.
+    Equal samples are counted first. Estimated quantiles a little before and after each place cut a group's values into
+    ranges; the exact counts of the ranges tell which of them hold the places, and only the values of these are ranked, each
+    range by itself: some n / accuracy of them. Any estimates give exact results; bad ones leave more to rank.
     Null samples take no part; a group without others has no row.
     """
     permilles = permilles or PERMILLES
-    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    ranged = quantile_ranges(counts, by, "__v", bits)
+    some = samples.where(F.col(value).isNotNull())
+    around = sorted({min(1.0, max(0.0, p / 1000 + side / accuracy)) for p in permilles.values() for side in (-2, 2)})
+    cuts = some.groupBy(*by).agg(F.percentile_approx(value, around, accuracy).alias("__cuts"))
+    counts = some.groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    beyond = reduce(Column.__add__, [(F.get("__cuts", F.lit(i)) <= F.col("__v")).cast("int") for i in range(len(around))])
+    ranged = same_keys(counts, cuts, by).withColumn("__range", beyond).drop("__cuts")
     group = Window.partitionBy(*by)
     spans = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__in"), F.max("__v").alias("__top"))
     before = F.coalesce(F.sum("__in").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
