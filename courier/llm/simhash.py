@@ -32,6 +32,8 @@ SEED = 42
 #: Variants of one bucket, on average; and those that a task writes out at once, beyond which it takes a bucket in parts.
 BUCKET_VARIANTS = 2_000_000
 MOST_VARIANTS = 8_000_000
+#: Shingles whose bits are counted at once.
+COUNTED = 1 << 17
 #: Fingerprints with their buckets (16 bytes each) that one shuffle partition holds.
 PART_ROWS = 16_000_000
 
@@ -57,10 +59,14 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     at = words.first[row_of] + np.arange(len(row_of)) - head[row_of]
     last = np.minimum(at + shingle, words.first[row_of + 1]) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts[at].tolist(), ends[last].tolist())), np.uint64, len(at))
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     rows = np.flatnonzero(per_row)
-    ones = np.add.reduceat(bits, head[rows], axis=0, dtype=np.int32)
+    ones = np.zeros((len(rows), 64), np.int64)
+    for i in range(0, len(at), COUNTED):
+        a, b = starts[at[i : i + COUNTED]].tolist(), ends[last[i : i + COUNTED]].tolist()
+        hashes = np.fromiter((digest(text[x:y], SEED) for x, y in zip(a, b)), np.uint64, len(a))
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own, first = np.unique(row_of[i : i + COUNTED], return_index=True)
+        ones[np.searchsorted(rows, own)] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
     majority = ones * 2 > per_row[rows][:, None]
     out[rows] = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
     return out
