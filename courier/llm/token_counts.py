@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .words import NOT_SPACE, Words, slices, utf8
+from .words import NOT_SPACE, Words, pieces, slices, utf8
 
 # The white space that the tokenizer's patterns mean, and its pattern of pre-tokens.
 BLANK = r"\t-\r \x85\xa0  -     　"
@@ -34,6 +34,8 @@ KINDS[0x20], KINDS[0x30:0x3A], KINDS[0x61:0x7B], KINDS[0x80:] = 0, 2, 1, 1
 LOWER_NONE = np.arange(256, dtype=np.uint8)
 #: Pieces of text that a Python worker remembers, and their bytes.
 MEMORY, MEMORY_BYTES = 600_000, 16 << 20
+#: Bytes of text that are merged at once; longer texts are taken in parts that end with white space.
+PART_BYTES = 1 << 20
 LIMIT = 2048
 
 
@@ -215,15 +217,23 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and the n + 1 offsets of the rows among them."""
         data, offsets = utf8(column)
+        found, ends = [np.zeros(0, np.uint32)], np.zeros(len(offsets), np.int64)
+        for a, b in pieces(data, NOT_SPACE, PART_BYTES):
+            ids, own = self._encode(data[a:b], np.clip(offsets, a, b) - a)
+            found.append(ids)
+            ends += own
+        return np.concatenate(found), ends
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = Words(data, offsets, NOT_SPACE)
-        of, pieces = words.distinct(LOWER_NONE)
-        new = [p for p in pieces if p not in self.number]
+        of, found = words.distinct(LOWER_NONE)
+        new = [p for p in found if p not in self.number]
         if len(self.number) + len(new) > MEMORY or self.held > MEMORY_BYTES:
             self._forget()
-            new = pieces
+            new = found
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))[of]
+        at = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))[of]
         sizes = self.ends[at + 1] - self.ends[at]
         ends = np.append(0, np.cumsum(sizes))
         return gather(self.ids, self.ends[at], sizes), ends[words.first]

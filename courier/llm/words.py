@@ -13,6 +13,8 @@ LOWER[65:91] += 32
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 BASE = np.uint64(0x9E3779B97F4A7C55)
+#: Words hashed at once.
+HASHED = 1 << 17
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
@@ -41,6 +43,24 @@ def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def pieces(data: np.ndarray, kind: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the bytes, of at most `limit` each where words allow it: a range ends behind a byte outside of `kind`, so in no word."""
+    start = 0
+    while len(data) - start > limit:
+        outside = np.flatnonzero(~kind[data[start : start + limit]])
+        at = start + limit
+        while not len(outside) and at < len(data):
+            outside = np.flatnonzero(~kind[data[at : at + limit]]) + (at - start)
+            at += limit
+        if not len(outside):
+            break
+        end = start + int(outside[-1 if at == start + limit else 0]) + 1
+        yield start, end
+        start = end
+    if start < len(data):
+        yield start, len(data)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x7FB5D329728EA185)
@@ -81,14 +101,19 @@ class Words:
     def hashes(self, letters: np.ndarray = LOWER) -> np.ndarray:
         """A 64-bit hash of each word: for features only, as different words may share one."""
         size = self.ends - self.starts
-        stop = np.cumsum(size)
         power = np.full(int(size.max(initial=0)) + 1, BASE, np.uint64)
         power[0] = 1
         power = np.cumprod(power, dtype=np.uint64)
-        raw = letters[self.data[self.inside]].astype(np.uint64) + np.uint64(1)
-        raw *= power[np.arange(len(raw)) - np.repeat(stop - size, size)]
-        total = np.append(np.uint64(0), np.cumsum(raw, dtype=np.uint64))
-        return mix(total[stop] - total[stop - size])
+        out = np.zeros(len(self), np.uint64)
+        for a in range(0, len(self), HASHED):  # some tens of bytes for each byte of these words
+            own = size[a : a + HASHED]
+            stop = np.cumsum(own)
+            first, last = self.starts[a], self.ends[a + len(own) - 1]
+            raw = letters[self.data[first:last][self.inside[first:last]]].astype(np.uint64) + np.uint64(1)
+            raw *= power[np.arange(len(raw)) - np.repeat(stop - own, own)]
+            total = np.append(np.uint64(0), np.cumsum(raw, dtype=np.uint64))
+            out[a : a + HASHED] = total[stop] - total[stop - own]
+        return mix(out)
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

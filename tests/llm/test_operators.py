@@ -13,7 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from courier.llm import decontaminate, fm_index, hilbert, license_scan, line_templates, nearest, packing, preference, registry, simhash, token_counts, toxicity
+from courier.llm import decontaminate, fm_index, hilbert, license_scan, line_templates, nearest, packing, preference, registry, simhash, token_counts, toxicity, words as llm_words
+from courier.llm.words import NOT_SPACE, pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found string, __row long, fp string, c0 string"
 HARD = ["", " \n\t ", "one", "two words", None, "x" * 70_000, "ab " * 30_000, "Same text here for all of us, again.", "Same text here for all of us, again.", "é" * 50, "a\x00b\x1cc d́ <|endoftext|> 'll"]
@@ -268,6 +269,26 @@ def test_a_forgetful_encoder_gives_the_same_ids(monkeypatch):
     assert [own.encode(pa.array([t]))[0].tolist() for t in texts] == want and len(own.number) <= 80
 
 
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_long_texts_are_merged_in_parts(docs, monkeypatch, size):
+    """The ids, and where each row ends, don't depend on how many bytes are merged at once."""
+    texts = pa.array([t[:3000] if t else t for _, t in rows_of(docs)] + ["don't  <|endoftext|>ΣΑΣ e\u0301\ta", "", "x" * 300 + " y"])
+    want, ends = token_counts.Encoder(path()).encode(texts)
+    monkeypatch.setattr(token_counts, "PART_BYTES", size)
+    own, parts = token_counts.Encoder(path()).encode(texts)
+    assert own.tolist() == want.tolist() and parts.tolist() == ends.tolist()
+
+
+@pytest.mark.parametrize("text", [b"", b" ", b"abc", b"a b", b"abcdefgh ij", b"  a  bcdefghijklm n ", b"abcdefghijkl"])
+@pytest.mark.parametrize("limit", [1, 2, 3, 5, 100])
+def test_pieces_of_bytes_end_outside_of_words(text, limit):
+    data = np.frombuffer(text, np.uint8)
+    cuts = list(pieces(data, NOT_SPACE, limit))
+    assert b"".join(text[a:b] for a, b in cuts) == text and all(a < b for a, b in cuts)
+    assert all(text[b - 1 : b] == b" " for _, b in cuts[:-1])
+    assert all(b - a <= limit or b" " not in text[a : b - 1] for a, b in cuts)
+
+
 def test_long_runs_of_one_symbol():
     library, own = fresh_tokenizer(), token_counts.encoder(path())
     for text in ("a" * 9000, "ab" * 5000, "theatin" * 2000):
@@ -417,6 +438,15 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+@pytest.mark.parametrize("counted", [1, 5, 64])
+def test_fingerprints_do_not_depend_on_the_parts_counted(docs, monkeypatch, counted):
+    texts = pa.array([t[:2000] if t else t for _, t in rows_of(docs)])
+    want = simhash.fingerprints_of(texts).tolist()
+    assert want == [fingerprint(t) for t in texts.to_pylist()]
+    monkeypatch.setattr(simhash, "COUNTED", counted)
+    assert simhash.fingerprints_of(texts).tolist() == want
+
+
 def brute_components(prints, ids, radius):
     root = list(range(len(prints)))
 
@@ -760,6 +790,14 @@ def plain_features(text, bits=toxicity.BITS):
     return {x >> 64 - bits for x in [*h, *pairs, *skips]}
 
 
+@pytest.mark.parametrize("hashed", [1, 3, 1000])
+def test_word_hashes_do_not_depend_on_the_parts_hashed(monkeypatch, hashed):
+    texts = pa.array(["Über-Größe 3x3 a_b a_b", None, "a b a b", "", " ,x" * 50])
+    want = [sorted(plain_features(t)) for t in texts.to_pylist()]
+    monkeypatch.setattr(llm_words, "HASHED", hashed)
+    assert [x.tolist() for x in toxicity.per_row(texts, toxicity.BITS)] == want
+
+
 def test_toxicity_features_and_scores_against_plain_python(docs):
     texts = [t for _, t in rows_of(docs)] + ["Über-Größe 3x3 a_b a_b", "a b a b"]
     found, row = toxicity.features(pa.array(texts))
