@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 import pytest
-from courier.llm import registry, toxicity
+from courier.llm import line_templates, registry, toxicity
 from courier.llm.common import cut_table
 from pyspark.sql import functions as F
 
@@ -55,6 +55,19 @@ def test_templates_of_groups_within_a_leaf(spark):
     assert corpus_pipeline.cut_lines(spark, table.limit(0), "").count() == 0
 
 
+def test_wide_templates_are_not_broadcast(spark, monkeypatch):
+    """What is broadcast is bounded by its bytes, not by its rows; either way the same lines go."""
+    lines = ["same words lead here " + " ".join(f"w{'abcdefghij'[(i * j) % 7] if j % 9 == 0 else 'x'}" for j in range(300)) for i in range(9)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    want = sorted(map(tuple, line_templates.drop_templates(docs, grouped=True).collect()))
+    sent = []
+    broadcast = line_templates.F.broadcast
+    monkeypatch.setattr(line_templates, "BROADCAST_NUMBERS", 100)
+    monkeypatch.setattr(line_templates.F, "broadcast", lambda df: sent.append(df.columns) or broadcast(df))
+    assert sorted(map(tuple, line_templates.drop_templates(docs, grouped=True).collect())) == want
+    assert any(t == "" for _, t in want) and sent and not any("top" in columns for columns in sent)
+
+
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[2]
     rows = rows_of(before)
