@@ -118,3 +118,9 @@ def test_queries_agree_with_their_sql(spark, sf, name):
     got = registry.queries()[name](spark, sf).select(*[F.col(x) for x in columns]).collect()
     rows = want.project(", ".join(f'"{x}"' for x in columns)).fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+
+
+def test_a_table_of_some_hundred_thousand_numbers_is_not_held_by_the_driver(spark):
+    """The driver holds a broadcast table several times over, so the bound is far below its memory."""
+    joined = lambda n: spark.range(10).join(line_templates.bounded(spark.range(n)), "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in joined(1000) and "broadcast" not in joined(300_000)
