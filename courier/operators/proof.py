@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hmac_sha256, le64, sha256_of
@@ -65,17 +63,53 @@ def roots(leaves: DataFrame, log: str = "log_id", step: int = 8) -> DataFrame:
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+NO_PATH = "cast(array() as array<struct<depth:int,sibling:binary,right:boolean>>)"
+#: Heads up to which they are broadcast.
+BROADCAST_HEADS = 100_000
+
+
+def _paths(level: DataFrame, size: int, log: str, step: int, base: int = 0) -> DataFrame:
+    """(log, idx, hash, path) for a level at height `base`, materialised: 2^depth neighbours meet and find their siblings among
+    themselves; the rest of the way is that of their common node `depth` levels up."""
+    if size <= 1:
+        return level.select(log, "idx", "hash", F.expr(NO_PATH).alias("path"))
+    depth = min(step, (size - 1).bit_length())
+    blocks = level.groupBy(log, F.shiftright("idx", depth).alias("__block")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("__rows"))
+    if size > 1 << depth:
+        higher = _paths(cut(folded(level, depth, log)), -(-size // (1 << depth)), log, step, base + depth)
+        # the paths are far larger than their estimate, so they aren't left to be broadcast
+        blocks = blocks.join(higher.select(log, F.col("idx").alias("__block"), F.col("path").alias("__above")).hint("merge"), [log, "__block"])
+    else:
+        blocks = blocks.withColumn("__above", F.expr(NO_PATH))
+    up = (
+        "transform(sequence(0, (size(element_at(acc, -1)) - 1) div 2), n -> if(get(element_at(acc, -1), cast(2 * n + 1 as int)) is null, get(element_at(acc, -1), cast(2 * n as int)),"
+        " unhex(sha2(concat(X'01', get(element_at(acc, -1), cast(2 * n as int)), get(element_at(acc, -1), cast(2 * n + 1 as int))), 256))))"
+    )
+    levels = "array(transform(__rows, r -> r.hash))"
+    if depth > 1:
+        levels = f"aggregate(sequence(1, {depth - 1}), {levels}, (acc, k) -> concat(acc, array({up})))"
+    sibling = f"named_struct('depth', d + {base}, 'sibling', get(get(lv, d), shiftright(i, d) ^ 1), 'right', (shiftright(i, d) & 1) = 0)"
+    own = f"filter(transform(sequence(0, {depth - 1}), d -> {sibling}), x -> x.sibling is not null)"
+    # the levels are a lambda's variable, so that they are made once for a block and not once for a leaf
+    rows = f"get(transform(array({levels}), lv -> transform(__rows, (r, i) -> named_struct('idx', r.idx, 'hash', r.hash, 'path', concat({own}, __above)))), 0)"
+    return blocks.select(log, F.inline(F.expr(rows)))
+
+
+def proved(leaves: DataFrame, log: str = "log_id", step: int = 8) -> DataFrame:
+    """(log, idx, hash, path): each leaf with the siblings from it to the root and their sides; a level without a sibling adds
+    none. Leaves are numbered from 0 without gaps; those without a log have no path and are left out."""
+    level = cut(leaves.where(F.col(log).isNotNull()).select(log, "idx", "hash"))
+    return _paths(level, level.groupBy(log).count().agg(F.max("count")).first()[0] or 0, log, step)
+
+
 def inclusion_proofs(leaves: DataFrame, log: str = "log_id") -> DataFrame:
-    """(log, idx, path): the siblings from each leaf to the root, with their sides; a level without a sibling adds none."""
-    below = levels(leaves, log)[:-1]
-    if not below:
-        return leaves.select(log, "idx", F.expr("cast(array() as array<struct<depth:int,sibling:binary,right:boolean>>)").alias("path"))
-    nodes = reduce(DataFrame.unionByName, (x.select(log, F.lit(d).alias("depth"), F.col("idx").alias("__other"), "hash") for d, x in enumerate(below)))
-    at = leaves.select(log, "idx", F.explode(F.sequence(F.lit(0), F.lit(len(below) - 1))).alias("depth")).withColumn("__at", F.expr("shiftright(idx, depth)"))
-    found = at.withColumn("__other", F.col("__at").bitwiseXOR(F.lit(1))).join(nodes, [log, "depth", "__other"])
-    steps = found.select(log, "idx", F.struct("depth", F.col("hash").alias("sibling"), (F.col("__at") % 2 == 0).alias("right")).alias("step"))
-    paths = steps.groupBy(log, "idx").agg(F.array_sort(F.collect_list("step")).alias("path"))
-    return leaves.select(log, "idx").join(paths, [log, "idx"], "left").withColumn("path", F.coalesce("path", F.expr("cast(array() as array<struct<depth:int,sibling:binary,right:boolean>>)")))
+    return proved(leaves, log).select(log, "idx", "path")
+
+
+def with_heads(rows: DataFrame, tops: DataFrame, log: str = "log_id") -> DataFrame:
+    """Rows of leaves with what their log's head holds; few heads are broadcast, so that rows needn't meet by their log."""
+    tops = cut(tops)
+    return rows.join(F.broadcast(tops) if tops.count() <= BROADCAST_HEADS else tops, log)
 
 
 def root_from_path(leaf_hash: Column, path: Column) -> Column:
@@ -140,7 +174,7 @@ def ack_ok(key: bytes, leaf_hash: Column, idx: Column, root: Column, signature:
 def receipts(leaves: DataFrame, key: bytes, log: str = "log_id") -> DataFrame:
     """(log, idx, hash, size, root, head, path, ack_idx, ack_root, ack): what proves to the sender of each leaf that it is in its log."""
     signed = heads(leaves, log).withColumn("root", F.unhex("root")).withColumn("head", F.unhex(tree_head(key, F.col(log), F.col("size"), F.col("root"))))
-    rows = leaves.select(log, "idx", "hash").join(inclusion_proofs(leaves, log), [log, "idx"]).join(signed, log)
+    rows = with_heads(proved(leaves, log), signed, log)
     return rows.select("*", F.col("idx").alias("ack_idx"), F.col("root").alias("ack_root"), F.unhex(acknowledgement(key, F.col("hash"), F.col("idx"), F.col("root"))).alias("ack"))
 
 

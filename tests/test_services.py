@@ -287,3 +287,27 @@ def test_pieces_of_a_long_blob(spark):
     pieces = proof.chunks(blobs, "id", "data", 1000)
     assert "__b" not in pieces.columns and pieces.count() == 1025
     assert {r["id"]: bytes(r["data"]) for r in proof.reassemble(pieces, "id").collect()} == {1: data, 2: b""}
+
+
+def test_proofs_of_logs_of_any_size(spark):
+    """A path is that of a plain tree, through blocks of any height; paths aren't left to be broadcast by their estimated size."""
+    import hashlib
+
+    sizes = (1, 2, 3, 7, 16, 17, 33, 70)
+    digest = lambda *x: hashlib.sha256(b"".join(x)).digest()
+    trees, want = {}, {}
+    for n in sizes:
+        level, paths = [digest(b"%d %d" % (n, i)) for i in range(n)], [[] for _ in range(n)]
+        trees[str(n)], height = level, 0
+        while len(level) > 1:
+            for i, path in enumerate(paths):
+                other = i >> height ^ 1
+                if other < len(level):
+                    path.append((height, level[other], other % 2 == 1))
+            level, height = [digest(b"\x01", *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)], height + 1
+        want |= {(str(n), i): path for i, path in enumerate(paths)}
+    leaves = spark.createDataFrame([(log, i, h) for log, level in trees.items() for i, h in enumerate(level)], "log_id string, idx long, hash binary")
+    for step in (1, 2, 3, 8):
+        found = proof.proved(leaves, step=step)
+        assert {(r["log_id"], r["idx"]): [(x["depth"], bytes(x["sibling"]), x["right"]) for x in r["path"]] for r in found.collect()} == want
+    assert "BroadcastHashJoin" not in proof.proved(leaves, step=3)._jdf.queryExecution().executedPlan().toString()
