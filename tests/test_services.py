@@ -4,6 +4,7 @@ import os
 import random
 import struct
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from courier import commands
 from courier.functions import codec, hashing
 from courier.model import DEAD, DUPLICATE
-from courier.operators import admit, broker, contract, envelope, landing, lineage, log, offload, offsets, proof
+from courier.operators import admit, broker, contract, envelope, landing, lineage, log, offload, offsets, proof, routing
 from courier.plans import services
 from courier.sources import spec
 from courier.streaming import gate
@@ -311,3 +312,18 @@ def test_proofs_of_logs_of_any_size(spark):
         found = proof.proved(leaves, step=step)
         assert {(r["log_id"], r["idx"]): [(x["depth"], bytes(x["sibling"]), x["right"]) for x in r["path"]] for r in found.collect()} == want
     assert "BroadcastHashJoin" not in proof.proved(leaves, step=3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_nodes_than_ten_thousand(spark):
+    """Every key has the node of largest weight of all, and in the order of failover it stands first; nothing is refused."""
+    members = list(range(12_000))
+    keys, nodes = spark.createDataFrame([(f"k{i}",) for i in range(9)], "key string"), spark.createDataFrame([(m,) for m in members], "node long")
+    mixed = hashing.mix64(np.array(members, np.uint64))
+    want = {k: np.argsort(~hashing.mix64(hashing.fnv1a(pd.Series([k])) ^ mixed), kind="stable").tolist() for k, in keys.collect()}
+    found = {}
+    for r in routing.preference(keys, nodes).orderBy("key", "rank").collect():
+        found.setdefault(r["key"], []).append(r["node"])
+    assert found == want
+    now, less = routing.route(keys, nodes), routing.route(keys, nodes.where("node % 10 <> 3"))
+    assert {r["key"]: r["node"] for r in now.collect()} == {k: order[0] for k, order in want.items()}
+    assert {r["key"]: r["new"] for r in routing.moved(now, less).collect()} == {k: next(m for m in order if m % 10 != 3) for k, order in want.items() if order[0] % 10 == 3}
