@@ -83,7 +83,8 @@ def served(events: DataFrame, contract: Contract) -> DataFrame:
         .when((F.col("kind") == "buffer") & ~contract.accepts(F.col("value")), INVALID_RECORD).otherwise(0)
     )
     rows = rows.withColumn("code", code)
-    after = own.rowsBetween(1, Window.unboundedFollowing)
+    # backwards: a frame that ends with the partition is computed anew for each row, one that begins with it goes on
+    after = Window.partitionBy("transactional_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     closing = F.min(F.when((F.col("kind") == "init") | ((F.col("kind") == "end") & (F.col("code") == 0)), F.struct("ord", (F.coalesce(F.col("commit"), F.lit(False)) & (F.col("kind") == "end")).alias("commit")))).over(after)
     rows = rows.withColumn("__end", closing)
     staged = (F.col("kind") == "buffer") & (F.col("code") == 0)

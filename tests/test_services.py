@@ -327,3 +327,11 @@ def test_more_nodes_than_ten_thousand(spark):
     now, less = routing.route(keys, nodes), routing.route(keys, nodes.where("node % 10 <> 3"))
     assert {r["key"]: r["node"] for r in now.collect()} == {k: order[0] for k, order in want.items()}
     assert {r["key"]: r["new"] for r in routing.moved(now, less).collect()} == {k: next(m for m in order if m % 10 != 3) for k, order in want.items() if order[0] % 10 == 3}
+
+
+def test_what_ends_a_transaction_is_found_in_one_pass(spark, sf):
+    """A frame that ends with its partition is computed anew for each row, so the work would grow with the square of an id's events."""
+    from courier.plans import queries
+
+    plan = queries.QUERIES["broker_visible"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
