@@ -234,6 +234,16 @@ def without(left: dict[int, int], items: tuple[int, ...], most: float = math.inf
     return {x: n for x, n in rest.items() if n}, times, tuple(use.items())
 
 
+def move(left: dict[int, int], pattern: Pattern, sign: int) -> None:
+    """Take the items of a pattern's bins out of what is left (sign -1), or put them back (1)."""
+    times, items = pattern
+    for x, k in items:
+        if n := left.get(x, 0) + sign * times * k:
+            left[x] = n
+        else:
+            del left[x]
+
+
 def one_less(counts: dict[int, int], x: int) -> dict[int, int]:
     return {**counts, x: counts[x] - 1} if counts[x] > 1 else {y: n for y, n in counts.items() if y != x}
 
@@ -271,14 +281,21 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: i
             best = min(best, found, key=bins)
     most = bins(best)
     total = sum(x * n for x, n in counts.items())
-    stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
+    # one copy of what is left, where the search stands, and the patterns that led there: a branch holds its own pattern
+    left, made = dict(counts), []
+    stack: list[tuple[int, Pattern | None, int, int]] = [(0, None, 0, 0)]
     while stack and most > bound and nodes:
         nodes -= 1
-        left, made, used, waste = stack.pop()
+        depth, pattern, used, waste = stack.pop()
         if waste > (most - 1) * capacity - total:
             continue
+        while len(made) > depth:
+            move(left, made.pop(), 1)
+        if pattern:
+            move(left, pattern, -1)
+            made.append(pattern)
         if not left:
-            best, most = made, used
+            best, most = [*made], used
             continue
         largest = max(left)
         others, room = one_less(left, largest), capacity - largest
@@ -291,14 +308,19 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, width: i
         for most_times in (math.inf, 1):  # once is tried last
             for filling in found:
                 items = (largest, *filling)
-                rest, times, pattern = without(left, items, most_times)
-                if most_times > 1 or without(left, items)[1] > 1:
-                    branches.append((rest, [*made, (times, pattern)], used + times, waste + times * (capacity - sum(items))))
-        rest, own, so_far, _ = branches[0]
-        if nodes % 16 == 0 and rest:  # best fit of what is left, as an incumbent
-            tail = best_fit(rest, capacity)
-            if so_far + bins(tail) < most:
-                best, most = own + tail, so_far + bins(tail)
+                use = tuple({x: items.count(x) for x in items}.items())
+                often = min(left[x] // k for x, k in use)
+                if most_times > 1 or often > 1:
+                    times = min(often, most_times)
+                    branches.append((len(made), (times, use), used + times, waste + times * (capacity - sum(items))))
+        if nodes % 16 == 0:  # best fit of what the first branch leaves, as an incumbent
+            _, own, so_far, _ = branches[0]
+            move(left, own, -1)
+            if left:
+                tail = best_fit(left, capacity)
+                if so_far + bins(tail) < most:
+                    best, most = [*made, own, *tail], so_far + bins(tail)
+            move(left, own, 1)
         stack += branches[::-1]
     return best
 

@@ -74,8 +74,10 @@ def ftrl(rows: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPO
 
     The rarer label's gradients weigh more, by the square root of the ratio of the two.
     """
-    n = np.zeros(1 << bits)
-    z = np.zeros(1 << bits)
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for _, x in rows)]))  # arrays over these alone: the driver has no room for many of 2^bits
+    rows = [(y, np.searchsorted(used, x)) for y, x in rows]
+    n = np.zeros(len(used))
+    z = np.zeros(len(used))
     bias = bias_n = 0.0
     toxic = sum(y for y, _ in rows)
     both = 0 < toxic < len(rows)
@@ -93,8 +95,8 @@ def ftrl(rows: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPO
             bias_n += g * g
             bias -= alpha * g / (beta + np.sqrt(bias_n))
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    places = np.flatnonzero(w)
-    return Model(places, w[places], float(bias), bits)
+    at = np.flatnonzero(w)
+    return Model(used[at], w[at], float(bias), bits)
 
 
 def held_out(id_col: str = "doc_id"):

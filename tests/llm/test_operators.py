@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -854,3 +855,25 @@ def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def traced_mb(run):
+    """The most that Python holds at once meanwhile, numpy's arrays included."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_search_of_packing_holds_one_copy_of_what_is_left():
+    counts = {x: 1 + (x * 7919) % 50 for x in range(400, 1100)}
+    assert packing.gap(packing.best_fit(counts, 2048), counts, 2048) > 0  # so it searches
+    assert traced_mb(lambda: packing.complete(counts, 2048, nodes=400, steps=0)) < 10
+
+
+def test_ftrl_holds_the_features_of_its_rows_and_no_more():
+    rng = np.random.default_rng(1)
+    rows = [(j % 2, np.unique(rng.integers(0, 1 << 22, 50))) for j in range(200)]
+    assert traced_mb(lambda: toxicity.ftrl(rows)) < 20
