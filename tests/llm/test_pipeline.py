@@ -1,6 +1,7 @@
 """The pipeline's stages on the driver's smallest tables, against what plain Python says of each stage's input."""
 
 import collections
+import random
 
 import corpus_pipeline
 import pytest
@@ -68,6 +69,21 @@ def test_wide_templates_are_not_broadcast(spark, monkeypatch):
     assert any(t == "" for _, t in want) and sent and not any("top" in columns for columns in sent)
 
 
+def test_few_lines_left_take_no_more_jobs(spark, monkeypatch):
+    """Rounds over few lines are done at once on the driver, with the templates that rounds of jobs give."""
+    rng = random.Random(5)
+    lines = [(leaf, 1000 * leaf + i, rng.choice([1, 1, 2, 3]), [rng.randrange(3) if p > 1 else 7 for p in range(6 + leaf)]) for leaf in range(-3, 4) for i in range(30)]
+    lines = [x for n, x in enumerate(lines) if x[3] not in [y[3] for y in lines[:n] if y[0] == x[0]]] + [(9, 9001, 1, [1, 2]), (9, 9002, 1, [1, 3])]
+    table = spark.createDataFrame(lines, "leaf long, masked long, many long, tokens array<long>")
+    cuts = []
+    cut = line_templates.cut
+    monkeypatch.setattr(line_templates, "cut", lambda df: cuts.append(1) or cut(df))
+    got = sorted(map(tuple, line_templates.groups(table, 0.7, 3).collect()))
+    assert len(cuts) <= 2 and len({t for _, t in got}) > 9
+    monkeypatch.setattr(line_templates, "DRIVER_NUMBERS", 0)
+    assert sorted(map(tuple, line_templates.groups(table, 0.7, 3).collect())) == got and len(cuts) > 12
+
+
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[2]
     rows = rows_of(before)
