@@ -565,3 +565,11 @@ def test_rows_that_differ(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (2,), (3,)], "x int")
     assert sorted((r["x"], r["side"]) for r in stats.same_rows(a, b).collect()) == [(1, "a"), (3, "b")]
     assert pd.DataFrame(stats.same_rows(a, a).collect()).empty
+
+
+def test_preference_rows_come_rank_by_rank(spark):
+    """Within a task's block of keys the ranks are runs, so files of the whole table stay small."""
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(40)], "key string").coalesce(1)
+    rows = routing.preference(keys, spark.range(30).withColumnRenamed("id", "node")).collect()
+    assert len(rows) == len({(r["key"], r["rank"]) for r in rows}) == len({(r["key"], r["node"]) for r in rows}) == 1200
+    assert sum(a["rank"] != b["rank"] for a, b in zip(rows, rows[1:])) < 600
