@@ -136,6 +136,24 @@ def test_queries_agree_with_their_sql(spark, sf, name):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
 
 
+def test_line_templates_agree_with_their_sql_where_groups_differ(spark, tmp_path):
+    """The driver's smaller tables have no leaf in which groups cut other lines than the SQL."""
+    import duckdb
+
+    texts = [f"user logged in from {w} after the nightly backup had run without errors" for w in ("lima", "oslo", "rome", "bonn", "riga", "kyiv")]
+    other = "user logged in from nowhere else but his own desk under another name"  # as long, with the same leading tokens
+    texts = [f"{t}\nthe server went down near {w} for a short while on {i}" for i, (t, w) in enumerate(zip([*texts, other], "abcdefg"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(registry.oracle_sql()["op2_line_templates"])
+    got = registry.queries()["op2_line_templates"](spark, str(tmp_path)).select(*[F.col(x) for x in want.columns]).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    one, many = [sorted(rows_of(line_templates.drop_templates(docs, grouped=g))) for g in (False, True)]
+    assert texts != [t for _, t in one] != [t for _, t in many]
+
+
 def test_a_table_of_some_hundred_thousand_numbers_is_not_held_by_the_driver(spark):
     """The driver holds a broadcast table several times over, so the bound is far below its memory."""
     joined = lambda n: spark.range(10).join(line_templates.bounded(spark.range(n)), "id")._jdf.queryExecution().analyzed().toString()
